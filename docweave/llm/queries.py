@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import leaks, mixing, seen
+from docweave.llm import leaks, mixing, pii, seen
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,6 +41,15 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.Mixture(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets")).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rate, p6_found, p6_suites, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf, "documents"), _table(spark, sf, "name_list"))
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return pii.redact(docs, pii.personal_data(docs, _table(spark, sf, "name_list")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rate, p6_found, p6_suites, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 SQL: dict[str, str] = {}
