@@ -39,7 +39,7 @@ class Files:
         fs.delete(p, True)
 
     def read_text(self, path: str) -> str:
-        return self.spark.read.option("wholetext", True).text(path).first()[0]
+        return self.spark.read.text(path, wholetext=True).first()[0]
 
     def write_text(self, path: str, text: str) -> None:
         """Write beside ``path`` and rename, so that readers never see a part."""
