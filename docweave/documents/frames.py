@@ -22,6 +22,24 @@ from docweave.plans import spec as S
 ROWS = "seq long, id_key binary, doc string"
 
 
+def from_column(df: DataFrame, seq: str, doc: str) -> DataFrame:
+    """A table of JSON texts as a collection; null and unreadable texts are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = []
+            for text in batch["doc"]:
+                try:
+                    value = ejson.loads(text)
+                except (TypeError, ValueError):
+                    value = None
+                keys.append(sort_key(value.get("_id")) if isinstance(value, dict) else None)
+            out = batch.assign(id_key=pd.Series(keys, dtype=object, index=batch.index))
+            yield out[out["id_key"].notna()][["seq", "id_key", "doc"]]
+
+    return df.select(F.col(seq).cast("long").alias("seq"), F.col(doc).alias("doc")).where("doc IS NOT NULL").mapInPandas(run, ROWS)
+
+
 def matching(frame: DataFrame, spec: dict | None, sort: list[tuple[str, int]] | None = None, compat: CompatProfile = DEFAULT) -> DataFrame:
     """Rows that match, with ``hit`` (array positions, JSON) and sort keys ``s0``, ``s1``, ...
 
