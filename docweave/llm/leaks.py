@@ -27,7 +27,7 @@ SEGMENT_TOKENS, OVERLAP = 1_000_000, 128
 #: Positions between two documents, so that no run crosses them.
 _GAP = 8
 #: Runs of an item's words that count as a leak. Word runs of a real leak are at least 12 long, chance ones at most 6.
-LEAST_WORDS = 9
+LEAST_WORDS = 10
 
 _WORD = re.compile(r"[\w|\ufffd]+(?:\?[\w|\ufffd]+)*")
 _TIMES = re.compile(r"(?:(?<=\n)|\A)(?:[^\n]{0,8}\n)?[^\n]{5,20}-{1,2}>[^\n]*")

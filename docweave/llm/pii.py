@@ -237,7 +237,8 @@ def _readings(run: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     if run[:1] == "(" and ")" not in run:
         yield digits[1:], start + 1, end
     for tail in reversed(list(re.finditer(r"\s+", digits))):
-        yield digits[: tail.start()], start, start + tail.start()
+        shorter = digits[: tail.start()].rstrip(" .-/(")
+        yield shorter, start, start + len(shorter)
 
 
 #: The words for digits in the languages of the corpus.
