@@ -23,13 +23,19 @@ from docweave.session import small_rows
 #: Step into the elements of an array; no JSON name looks like it, since steps are told apart by kind.
 _ELEMENT = "e"
 _SEP, _KEY = "\x1f", "k"
+#: Beyond this many kinds of documents one projection serves them all.
+_MOST_KINDS = 32
 
 
 class Shape(NamedTuple):
-    """``steps`` from the root to a kind of object; empty for the root itself."""
+    """``steps`` from the root to a kind of object; empty for the root itself.
+
+    ``kind`` is the value of the column that tells kinds of documents apart.
+    """
 
     steps: tuple[str, ...]
     fields: tuple[str, ...]
+    kind: str | None = None
 
     @property
     def name(self) -> str:
@@ -40,11 +46,16 @@ def _stands_for_value(node: dict) -> bool:
     return next(iter(node), "")[:1] == "$"
 
 
+def _has_late_dollar(node: dict) -> bool:
+    """Whether a ``$`` key follows other keys, or other keys follow one."""
+    return len(node) > 1 and len({k[:1] == "$" for k in node}) > 1
+
+
 def shapes_of(value, found: dict[tuple[str, ...], set[str]]) -> bool:
     """Add the element objects in ``value`` and their leaf fields to ``found``.
 
-    Returns whether a value object (first key ``$``) holds other names too,
-    which the projection then has to guard against.
+    Returns whether an object has ``$`` keys beside others, which the
+    projection then has to guard against.
     """
     mixed = False
     stack = [(value, (), ())]
@@ -55,18 +66,19 @@ def shapes_of(value, found: dict[tuple[str, ...], set[str]]) -> bool:
             for x in node:
                 if type(x) is dict:
                     if _stands_for_value(x):
-                        mixed |= len(x) > 1 and any(k[:1] != "$" for k in x)
+                        mixed |= _has_late_dollar(x)
                     else:
                         found.setdefault(inner, set())
                         stack.append((x, inner, inner))
                 elif type(x) is list:
                     stack.append((x, inner, owner))
         elif type(node) is dict:
+            mixed |= _has_late_dollar(node)
             own = found.setdefault(owner, set()) if steps == owner else None
             for k, x in node.items():
                 kind = type(x)
                 if kind is dict and _stands_for_value(x):
-                    mixed |= len(x) > 1 and any(n[:1] != "$" for n in x)
+                    mixed |= _has_late_dollar(x)
                 elif kind is list or kind is dict:
                     if x:
                         stack.append((x, (*steps, _KEY + k), owner))
@@ -77,10 +89,10 @@ def shapes_of(value, found: dict[tuple[str, ...], set[str]]) -> bool:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    found: dict[tuple[str, ...], set[str]] = {}
+    by: dict[str | None, dict[tuple[str, ...], set[str]]] = {}
     mixed = False
     for batch in batches:
-        for text in batch["v"]:
+        for kind, text in zip(batch["kind"], batch["v"]):
             if text is None:
                 continue
             try:
@@ -88,31 +100,44 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except (ValueError, RecursionError):
                 continue
             if type(value) is list or (type(value) is dict and not _stands_for_value(value)):
-                mixed |= shapes_of(value, found)
-    rows = [(_SEP.join(printable(s) for s in steps), printable(f)) for steps, fields in found.items() for f in (fields or {None}) if f is not None]
-    rows += [(_SEP.join(printable(s) for s in steps), None) for steps in found]
-    rows += [(None, None)] if mixed else []
-    yield pd.DataFrame(rows, columns=["steps", "field"])
-
-
-def find_shapes(df: DataFrame, value: str = "v", limit: int = 100_000) -> tuple[list[Shape], bool]:
+                mixed |= shapes_of(value, by.setdefault(kind, {}))
+    rows = []
+    for kind, found in by.items():
+        for steps, fields in found.items():
+            name = _SEP.join(printable(s) for s in steps)
+            rows.append((kind, name, None))
+            rows += [(kind, name, printable(f)) for f in fields]
+    rows += [(None, None, None)] if mixed else []
+    yield pd.DataFrame(rows, columns=["kind", "steps", "field"])
+
+
+def find_shapes(df: DataFrame, value: str = "v", kind: str | None = None, limit: int = 100_000) -> tuple[list[Shape], bool]:
     """All shapes in all documents, and whether guards are needed.
 
-    Every task sends each (shape, field) once; the result is as large as the
-    schema, not as the data. More than ``limit`` pairs raise an error: names
-    are then data and belong into rows first.
+    Every task sends each (kind, shape, field) once; the result is as large
+    as the schema, not as the data. More than ``limit`` of them raise an
+    error: names are then data and belong into rows first.
     """
-    pairs = df.select(F.col(value).cast("string").alias("v")).where("v IS NOT NULL").mapInPandas(_scan, "steps string, field string").distinct()
-    by: dict[str, set[str]] = {}
+    kinds = F.col(kind).cast("string") if kind else F.lit(None).cast("string")
+    found = df.select(kinds.alias("kind"), F.col(value).cast("string").alias("v")).where("v IS NOT NULL").mapInPandas(_scan, "kind string, steps string, field string").distinct()
+    by: dict[tuple[str | None, str], set[str]] = {}
     guard = False
-    for r in small_rows(pairs, limit, "the catalogue of shapes"):
+    for r in small_rows(found, limit, "the catalogue of shapes"):
         if r.steps is None:
             guard = True
             continue
-        fields = by.setdefault(r.steps, set())
+        fields = by.setdefault((r.kind, r.steps), set())
         if r.field is not None:
             fields.add(r.field)
-    return [Shape(tuple(s.split(_SEP)) if s else (), tuple(sorted(f))) for s, f in sorted(by.items())], guard
+    return [Shape(tuple(s.split(_SEP)) if s else (), tuple(sorted(f)), k) for (k, s), f in sorted(by.items(), key=lambda x: (x[0][0] or "", x[0][1]))], guard
+
+
+def merged(shapes: list[Shape]) -> list[Shape]:
+    """The shapes of all kinds of documents together."""
+    by: dict[tuple[str, ...], set[str]] = {}
+    for s in shapes:
+        by.setdefault(s.steps, set()).update(s.fields)
+    return [Shape(steps, tuple(sorted(f))) for steps, f in sorted(by.items())]
 
 
 def _lit(text: str) -> str:
@@ -145,6 +170,11 @@ def _items(node: str, keys: list[str]) -> str:
     return f"try_variant_get({node}, {_lit(path)}, 'array<variant>')"
 
 
+def _stored(key: str) -> str:
+    """The name under which VARIANT holds ``key``: ``$`` keys of plain objects are renamed."""
+    return "~" + key if key[:1] == "$" else key
+
+
 _LEVEL = "array<struct<path:string,parent:string,pos:array<int>,e:variant>>"
 _LINKS = "array<struct<parent_path:string,child_path:string>>"
 
@@ -163,35 +193,58 @@ def links_sql(shapes: Iterable[Shape], root: str = "d", guard: bool = False) ->
         node[""] = True
 
     def joined(parts: list[str]) -> str:
-        parts = [f"coalesce({p}, CAST(array() AS {_LINKS}))" for p in parts]
-        return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+        none = f"CAST(array() AS {_LINKS})"
+        parts = [p if p.startswith("array(") else f"coalesce({p}, {none})" for p in parts]
+        return none if not parts else parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+
+    def fields_of(var: str) -> str:
+        return f"try_variant_get({var}, '$', 'map<string,variant>')"
+
+    def bound(fields: str, depth: int, body: str) -> str:
+        """``body`` over the fields of an object, which are read once."""
+        return f"flatten(transform(array({fields}), m{depth} -> {body}))"
+
+    def branches(node: dict, fields: str, path: str, parent: str, depth: int) -> list[str]:
+        """The arrays below an object whose fields are the map ``fields``."""
+        out = []
+        for step, inner in node.items():
+            if step and step != _ELEMENT:
+                out += below(inner, f"try_element_at({fields}, {_lit(_stored(step[1:]))})", [step[1:]], path, parent, depth)
+        return out
 
     def below(node: dict, var: str, keys: list[str], path: str, parent: str, depth: int) -> list[str]:
         out = []
+        if _ELEMENT in node:
+            out.append(elements(node[_ELEMENT], f"try_variant_get({var}, '$', 'array<variant>')", keys, path, parent, depth))
         for step, inner in node.items():
-            if step == _ELEMENT:
-                out.append(elements(inner, var, keys, path, parent, depth))
-            elif step:
-                out += below(inner, var, [*keys, step[1:]], path, parent, depth)
+            if step and step != _ELEMENT:
+                out += below(inner, _member(var, _stored(step[1:])), [*keys, step[1:]], path, parent, depth)
         return out
 
-    def elements(node: dict, var: str, keys: list[str], path: str, parent: str, depth: int) -> str:
+    def elements(node: dict, items: str, keys: list[str], path: str, parent: str, depth: int) -> str:
         e, i = f"e{depth}", f"i{depth}"
         where = [x for x in (path, _lit(".".join(keys)) if keys else "") if x]
         here = f"concat_ws('.', {', '.join([*where, i])})"
         in_object = {k: v for k, v in node.items() if k not in ("", _ELEMENT)}
         in_array = {k: v for k, v in node.items() if k == _ELEMENT}
-        own = [f"array(named_struct('parent_path', {parent}, 'child_path', {here}))"] if "" in node else []
-        inside = below(in_object, e, [], here, here, depth + 1)
+        link = f"named_struct('parent_path', {parent}, 'child_path', {here})"
+        if "" in node and not in_object and not in_array:
+            return f"filter(transform({items}, ({e}, {i}) -> CASE WHEN {_is_object(e)} THEN {link} END), y -> y IS NOT NULL)"
         nested = below(in_array, e, [], here, parent, depth + 1)
-        if own or (guard and inside):
-            objects = joined([*own, *inside])
-            body = f"CASE WHEN {_is_object(e)} THEN {objects}" + (f" ELSE {joined(nested)}" if nested else "") + " END"
+        inside = branches(in_object, f"m{depth}", here, here, depth + 1)
+        own = [f"array({link})"] if "" in node else []
+        is_object = f"NOT coalesce(exists(map_keys(m{depth}), k -> startswith(k, '$')), true)"
+        if own or inside:
+            body = bound(fields_of(e), depth, f"CASE WHEN {is_object} THEN {joined([*own, *inside])} ELSE {joined(nested)} END")
         else:
-            body = joined([*inside, *nested])
-        return f"flatten(filter(transform({_items(var, keys)}, ({e}, {i}) -> {body}), y -> y IS NOT NULL))"
+            body = joined(nested)
+        return f"flatten(transform({items}, ({e}, {i}) -> {body}))"
 
-    return joined(below(tree, root, [], "", _lit(""), 0))
+    parts = branches(tree, "m", "", _lit(""), 0)
+    root_array = below({_ELEMENT: tree[_ELEMENT]}, root, [], "", _lit(""), 0) if _ELEMENT in tree else []
+    is_object = "NOT coalesce(exists(map_keys(m), k -> startswith(k, '$')), true)" if guard else "m IS NOT NULL"
+    body = f"flatten(transform(array({fields_of(root)}), m -> CASE WHEN {is_object} THEN {joined(parts)} ELSE {joined(root_array)} END))"
+    return body
 
 
 def projection_sql(shape: Shape, root: str = "d", guard: bool = False) -> str:
@@ -207,7 +260,7 @@ def projection_sql(shape: Shape, root: str = "d", guard: bool = False) -> str:
         e, i = f"e{depth}", f"i{depth}"
         here = f"concat_ws('.', {', '.join([*where, i])})"
         here_pos = f"concat({pos}, array({i}))"
-        items = _items(node, names)
+        items = _items(node, [_stored(n) for n in names])
         if at == len(shape.steps) - 1:
             rows = f"transform({items}, ({e}, {i}) -> named_struct('path', {here}, 'parent', {parent}, 'pos', {here_pos}, 'e', {e}))"
             return f"filter({rows}, x -> {_is_object('x.e')})"
@@ -220,38 +273,50 @@ def projection_sql(shape: Shape, root: str = "d", guard: bool = False) -> str:
     return f"coalesce({build(root, 0, '', _lit(''), 'array()', 0)}, CAST(array() AS {_LEVEL}))"
 
 
-def with_variant(df: DataFrame, keep: list[str], value: str = "v") -> DataFrame:
+def with_variant(df: DataFrame, keep: list[str], value: str = "v", guard: bool = True) -> DataFrame:
     """``keep`` columns and ``d``, the document as VARIANT.
 
-    VARIANT orders the keys of an object; ``$`` keys that aren't the first
-    are renamed before, so that a ``$`` key still tells a value object.
+    VARIANT orders the keys of an object; where some object has ``$`` keys
+    beside others (``guard``), those that aren't the first are renamed
+    before, so that a ``$`` key still tells a value object.
     """
-    text = F.regexp_replace(F.col(value).cast("string"), r',(\s*)"\$', r',$1"~\$')
+    text = F.col(value).cast("string")
+    if guard:
+        text = F.regexp_replace(text, r',(\s*)"\$', r',$1"~\$')
     return df.select(*keep, F.try_parse_json(text).alias("d"))
 
 
-def element_rows(df: DataFrame, keep: list[str], value: str = "v", shapes: list[Shape] | None = None, guard: bool = True) -> DataFrame:
+def element_rows(df: DataFrame, keep: list[str], value: str = "v", kind: str | None = None) -> DataFrame:
     """``keep, parent_path, child_path``: each object that is an array element.
 
-    Paths are dotted with 0-based positions; ``parent_path`` is the nearest
-    enclosing element, empty if there is none. Null documents, text that
-    isn't JSON and objects that repeat a name (both listed by
-    ``unreadable``) have no rows; an object whose first key starts with
-    ``$`` is a value; strings are leaves whatever they hold; scalars and
-    nulls in an array keep their position. Documents without arrays of
-    objects have no rows; an empty table gives an empty result.
+    ``kind`` may name a column whose values have shapes of their own; it
+    only saves work. Paths are dotted with 0-based positions;
+    ``parent_path`` is the nearest enclosing element, empty if there is
+    none. Null documents, text that isn't JSON and objects that repeat a
+    name (both listed by ``unreadable``) have no rows; an object whose first
+    key starts with ``$`` is a value; strings are leaves whatever they hold;
+    scalars and nulls in an array keep their position. Documents without
+    arrays of objects have no rows; an empty table gives an empty result.
     """
-    if shapes is None:
-        shapes, guard = find_shapes(df, value)
-    targets = [s for s in shapes if s.steps]
-    parsed = with_variant(df, keep, value)
+    shapes, guard = find_shapes(df, value, kind)
+    targets: dict[str | None, list[Shape]] = {}
+    for s in shapes:
+        if s.steps:
+            targets.setdefault(s.kind, []).append(s)
     if not targets:
-        return parsed.where("false").select(*keep, F.lit("").alias("parent_path"), F.lit("").alias("child_path"))
-    return parsed.select(*keep, F.inline(F.expr(links_sql(targets, guard=guard))))
+        return df.where("false").select(*keep, F.lit("").alias("parent_path"), F.lit("").alias("child_path"))
+    if kind is None or len(targets) == 1 or len(targets) > _MOST_KINDS:
+        sql = links_sql(merged([s for own in targets.values() for s in own]), guard=guard)
+        parsed = with_variant(df, keep, value, guard)
+    else:
+        cases = [f"WHEN __kind {'IS NULL' if k is None else '= ' + _lit(k)} THEN {links_sql(own, guard=guard)}" for k, own in targets.items()]
+        sql = f"CASE {' '.join(cases)} ELSE CAST(array() AS {_LINKS}) END"
+        parsed = with_variant(df.withColumn("__kind", F.col(kind).cast("string")), [*keep, "__kind"], value, guard)
+    return parsed.select(*keep, F.inline(F.expr(sql)))
 
 
 def _leaf(field: str) -> Column:
-    node = _member("e", field)
+    node = _member("e", _stored(field))
     text = F.expr(f"coalesce(try_variant_get({node}, '$', 'string'), to_json({node}))")
     return F.when(F.expr(f"is_variant_null({node})"), None).otherwise(text)
 
@@ -274,9 +339,9 @@ def flat_tables(df: DataFrame, keep: list[str], value: str = "v") -> dict[str, D
     wrapped values as JSON, null where null or missing.
     """
     shapes, guard = find_shapes(df, value)
-    parsed = with_variant(df, keep, value)
+    parsed = with_variant(df, keep, value, guard)
     tables = {}
-    for s in shapes:
+    for s in merged(shapes):
         names = _column_names(s.fields)
         leaves = [_leaf(f).alias(f"f:{n}") for f, n in zip(s.fields, names)]
         if s.steps:

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.element_rows(table(spark, sf, "doc_store"), ["row_id"])
+    return nested.element_rows(table(spark, sf, "doc_store"), ["row_id"], kind="coll")
 
 
 def p2_tables(spark: SparkSession, sf: str) -> DataFrame:
