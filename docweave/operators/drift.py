@@ -71,8 +71,8 @@ def _document(text: str | None):
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows: Counter = Counter()
-        holders: Counter = Counter()
-        typed: Counter = Counter()
+        holders: dict[str, Counter] = {}
+        typed: dict[str, Counter] = {}
         for file, text in zip(batch["file"], batch["v"]):
             if text is None:
                 continue
@@ -82,15 +82,11 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             pairs: list[tuple[str, object]] = []
             walk_paths(value, pairs)
-            for path in {p for p, _ in pairs}:
-                holders[file, path] += 1
-            for path, x in pairs:
-                name = type_name(x)
-                if name is not None:
-                    typed[file, path, name] += 1
+            holders.setdefault(file, Counter()).update({p for p, _ in pairs})
+            typed.setdefault(file, Counter()).update([(p, type_name(x)) for p, x in pairs])
         out = [(f, None, None, n) for f, n in rows.items()]
-        out += [(f, printable(p), None, n) for (f, p), n in holders.items()]
-        out += [(f, printable(p), t, n) for (f, p, t), n in typed.items()]
+        out += [(f, printable(p), None, n) for f, found in holders.items() for p, n in found.items()]
+        out += [(f, printable(p), t, n) for f, found in typed.items() for (p, t), n in found.items() if t is not None]
         yield pd.DataFrame(out, columns=["file", "path", "type", "n"])
 
 
@@ -210,12 +206,13 @@ def renames(df: DataFrame, files: DataFrame, changes: DataFrame, row: str = "row
     picked = df.select(F.col(row).cast("long").alias("row_no"), F.col(file).cast("string").alias("file"), F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v")).where("v IS NOT NULL AND k IS NOT NULL")
     held = picked.join(by_file, "file").mapInPandas(_values_at, "feed string, at_no long, path string, old boolean, k string, row_no long, held binary")
     first = held.groupBy("feed", "at_no", "path", "old", "k").agg(F.min_by("held", "row_no").alias("held")).withColumn("parent", _parent(F.col("path")))
-    before = first.where("old").select("feed", "at_no", "parent", "k", F.col("path").alias("old_path"), F.col("held").alias("old_held"))
-    after = first.where("NOT old").select("feed", "at_no", "parent", "k", F.col("path").alias("new_path"), F.col("held").alias("new_held"))
+    # both sides of a key meet in one group: as many rows as there are changed paths under one parent
+    side = F.struct("path", "held")
+    meeting = first.groupBy("feed", "at_no", "parent", "k").agg(F.collect_list(F.when(F.col("old"), side)).alias("olds"), F.collect_list(F.when(~F.col("old"), side)).alias("news"))
+    lines = meeting.where(F.size("news") > 0).select("feed", "at_no", "k", F.explode("olds").alias("o"), "news").select("feed", "at_no", "k", "o", F.explode("news").alias("n"))
     pairs = (
-        before.join(after, ["feed", "at_no", "parent", "k"])
-        .groupBy("feed", "at_no", "old_path", "new_path")
-        .agg(F.count("*").alias("both"), F.count_if(F.col("old_held") == F.col("new_held")).alias("same"))
+        lines.groupBy("feed", "at_no", F.col("o.path").alias("old_path"), F.col("n.path").alias("new_path"))
+        .agg(F.count("*").alias("both"), F.count_if(F.col("o.held") == F.col("n.held")).alias("same"))
         .where((F.col("both") >= RENAME_KEYS) & (F.col("same") >= RENAME_SHARE * F.col("both")))
     )
     best = [F.desc(F.col("same") / F.col("both")), F.desc("both"), "old_path", "new_path"]
