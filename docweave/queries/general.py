@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import differ, drift, nested, rejects
+from docweave.queries.canonical_sql import canonical_id, field_texts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,4 +70,86 @@ def p5_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p3_found, p3_lifespans, p3_unified, p4_found, p4_valid, p4_loans, p5_found, p5_summary)}
 
-SQL: dict[str, str] = {}
+_P2 = r"""
+SELECT row_id,
+  regexp_replace(regexp_replace(up, '^\$\.?', ''), '\[(\d+)\]', '.\1', 'g') AS parent_path,
+  regexp_replace(regexp_replace(fullkey, '^\$\.?', ''), '\[(\d+)\]', '.\1', 'g') AS child_path
+FROM (
+  SELECT d.row_id, t.fullkey, regexp_replace(t.fullkey, '(\.[^.\[\]]+)+(\[\d+\])+$', '') AS up
+  FROM doc_store d, json_tree(CAST(d.v AS JSON)) t
+  WHERE d.v IS NOT NULL AND t.type = 'OBJECT' AND t.fullkey LIKE '%]' AND NOT coalesce(starts_with(json_keys(t.value)[1], '$'), false)
+)
+"""
+
+_P4 = r"""
+WITH layouts AS (
+  SELECT layout, any_value(fmt) AS fmt, any_value(delim) AS d, count(*) AS width,
+    list(struct_pack(t := field_type, ok := null_ok, n := field_name) ORDER BY pos) AS fields
+  FROM import_layouts GROUP BY layout
+), lines AS (
+  SELECT line_id, line_no, trim(raw_line, ' ' || chr(13)) AS s, layouts.* FROM montyimport JOIN layouts USING (layout)
+), delimited AS (
+  SELECT *, replace('d("([^"]|"")*"|[^"d]*)', 'd', d) AS one FROM lines WHERE fmt = 'delimited' AND line_no <> 1
+), texts AS (
+  SELECT *, list_transform(regexp_extract_all(d || s, one, 1), lambda f: CASE WHEN starts_with(f, '"') THEN replace(f[2:-2], '""', '"') ELSE f END) AS got,
+    regexp_full_match(d || s, '(' || one || ')+') AS quoted
+  FROM delimited
+), judged AS (
+  SELECT line_id, quoted, len(got) = width AS counted,
+    len(list_filter(list_zip(got, fields), lambda z: NOT CASE
+      WHEN z[1] = '' AND z[2].t <> 'string' THEN z[2].ok
+      WHEN z[2].t = 'int' THEN regexp_full_match(z[1], '[+-]?[0-9]+') AND TRY_CAST(z[1] AS BIGINT) IS NOT NULL
+      WHEN z[2].t = 'number' THEN regexp_full_match(z[1], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+      WHEN z[2].t = 'bool' THEN lower(z[1]) IN ('true', 'false')
+      WHEN z[2].t = 'date' THEN regexp_full_match(z[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND z[1] >= '0001' AND TRY_CAST(z[1] AS DATE) IS NOT NULL
+      WHEN z[2].t = 'oid' THEN regexp_full_match(z[1], '[0-9a-fA-F]{24}')
+      ELSE true END)) = 0 AS valued
+  FROM texts
+), objects AS (
+  SELECT *, CASE WHEN json_valid(s)
+    -- stricter than json_valid: no comma before a bracket, no NaN or Infinity
+    AND NOT regexp_matches(regexp_replace(s, '"([^"\\]|\\.)*"', '""', 'g'), ',\s*[}\]]|[NI]|nan|inf') THEN CAST(s AS JSON) END AS j FROM lines WHERE fmt = 'ndjson'
+), values_ AS (
+  SELECT *, list_transform(fields, lambda f: struct_pack(t := f.t, ok := f.ok, kind := coalesce(json_type(j, '$."' || f.n || '"'), 'NULL'),
+      text := json_extract_string(j, '$."' || f.n || '"'), oid := json_extract_string(j, '$."' || f.n || '"."$oid"'), names := json_keys(j, '$."' || f.n || '"'))) AS got
+  FROM objects
+), both_ AS (
+  SELECT * FROM judged UNION ALL
+  SELECT line_id, coalesce(json_type(j) = 'OBJECT', false), len(json_keys(j)) = width,
+    len(list_filter(got, lambda g: NOT CASE
+      WHEN g.kind = 'NULL' THEN g.ok
+      WHEN g.t = 'int' THEN g.kind IN ('BIGINT', 'UBIGINT')
+      WHEN g.t = 'number' THEN g.kind IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+      WHEN g.t = 'bool' THEN g.kind = 'BOOLEAN'
+      WHEN g.t = 'oid' THEN g.names = ['$oid'] AND coalesce(regexp_full_match(g.oid, '[0-9a-fA-F]{24}'), false)
+      WHEN g.t = 'date' THEN g.kind = 'VARCHAR' AND regexp_full_match(g.text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND g.text >= '0001' AND TRY_CAST(g.text AS DATE) IS NOT NULL
+      ELSE g.kind = 'VARCHAR' END)) = 0
+  FROM values_
+)
+SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT counted THEN 'column_count' ELSE 'bad_value' END AS reason
+FROM both_ WHERE NOT (quoted AND counted AND valued)
+"""
+
+_P5 = f"""
+WITH ka AS (SELECT a_row AS r, coll, {canonical_id("_id")} AS c FROM flatfile_copy),
+  kb AS (SELECT b_row AS r, coll, {canonical_id("_id")} AS c FROM sqlite_copy),
+  fa AS ({field_texts("flatfile_copy", "a_row")}),
+  fb AS ({field_texts("sqlite_copy", "b_row")}),
+  met AS (SELECT ka.r AS a, kb.r AS b FROM ka JOIN kb ON ka.coll = kb.coll AND ka.c = kb.c)
+SELECT r AS a_row, CAST(-1 AS BIGINT) AS b_row, '' AS field_name FROM ka WHERE r NOT IN (SELECT a FROM met)
+UNION ALL SELECT -1, r, '' FROM kb WHERE r NOT IN (SELECT b FROM met)
+UNION ALL SELECT coalesce(x.a, y.a), coalesce(x.b, y.b), coalesce(x.field, y.field)
+FROM (SELECT met.a, met.b, fa.field, fa.c FROM met JOIN fa ON fa.r = met.a) x
+FULL JOIN (SELECT met.a, met.b, fb.field, fb.c FROM met JOIN fb ON fb.r = met.b) y ON x.a = y.a AND x.field = y.field
+WHERE x.c IS DISTINCT FROM y.c
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": _P2,
+    "p4_found": _P4,
+    "p5_found": _P5,
+    "p5_summary": f"""
+SELECT CASE WHEN b_row = -1 THEN 'only_a' WHEN a_row = -1 THEN 'only_b' ELSE 'field' END AS kind, field_name, count(*) AS documents
+FROM ({_P5}) GROUP BY 1, 2
+""",
+}
