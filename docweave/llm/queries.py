@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import leaks, mixing, pii, seen
+from docweave.queries.canonical_sql import canonical_id
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -52,4 +53,11 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rate, p6_found, p6_suites, p7_mix, p7_shares, p8_found, p8_redacted)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": f"""
+SELECT seq FROM (
+  SELECT seq, row_number() OVER (PARTITION BY coll, c ORDER BY seq) AS nth
+  FROM (SELECT seq, coll, {canonical_id("k")} AS c FROM kv_writes UNION ALL SELECT -1, coll, {canonical_id("k")} FROM seen_keys)
+) WHERE nth > 1 AND seq >= 0
+""",
+}
