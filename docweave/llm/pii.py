@@ -152,7 +152,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 #: A run that may be a number: starts with a digit or an opening sign, or with letters and digits mixed.
 _RUN = re.compile(
-    r"(?<![\w@.])(?:[+(]{0,2}[0-9OolI|][0-9OolI|SB]{0,14}\)?(?:[ ./ -]{1,2}|[ ]?\r?\n)?(?:[0-9OolI|SB]+[ ./-]?\r?\n?)+[A-Z]?|[A-Z]{1,2}[ \n]?\d[\dOlI|SBA-Z .\n-]{5,14})(?![\w@])"
+    r"(?<![\w@.])(?:[+(]{0,2}[0-9OolI|][0-9OolI|SB]{0,14}\)?(?:[ ./ -]{1,2}|[ ]?\r?\n)?(?:[0-9OolI|SB]+[ ./-]?\r?\n?)+[A-Z]?|[A-Z]{1,2}[ \r\n]{0,2}\d[\dOlI|SBA-Z .\r\n-]{5,16})(?![\w@])"
 )
 _DIGITISED = str.maketrans("OolI|SB", "0011158")
 _DIGIT_LIKE = re.compile(r"(?<=[0-9.+/() -])[OolI|SB]+(?=[0-9.+/() -]|\Z)|(?<=\d)[OolI|SB]+(?=\d|\Z)")
@@ -334,9 +334,9 @@ def _longer_street(text: str, at: int) -> int | None:
 # --- names of persons ----------------------------------------------------
 
 _CAPITAL = re.compile(rf"(?<![\w'’@.+-])[A-ZÀ-ÖØ-ÞŒ015|�?][\w|�]+(?:\?[\w|�]+)*")
-_AFTER = re.compile(rf"([?�]?\s+(?:[A-ZÀ-Þ]\.\s*){{0,3}})((?:(?:de|von|van|del|di|la)\s+)?[{_UPPER}][\w|�]{{2,}}(?:\?[\w|�]+)*(?:-[{_UPPER}][\w|�]+)?)")
+_AFTER = re.compile(rf"([?�]?\s+(?:[A-ZÀ-Þ]\.\s*){{0,3}})([{_UPPER}][\w|�]*(?:\?[\w|�]+)*(?:-[{_UPPER}][\w|�]+)?)")
 _INITIALS = re.compile(r"(?:\s+[A-ZÀ-Þ]\.){0,3}")
-_BEFORE = re.compile(rf"(?<![\w'’@.+-])([{_UPPER}][\w|�]{{2,}}(?:\?[\w|�]+)*(?:-[{_UPPER}][\w|�]+)?)(,?\s+)\Z")
+_BEFORE = re.compile(rf"(?<![\w'’@.+-])([{_UPPER}][\w|�]*(?:\?[\w|�]+)*(?:-[{_UPPER}][\w|�]+)?)(,?\s+)\Z")
 
 
 class Names:
@@ -386,7 +386,7 @@ def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, bool]]:
         if not (names.is_given(word) or lost):
             continue
         after = _AFTER.match(text, end)
-        if after and not (after[1][:1] in "?�" and not lost):
+        if after and len(after[2]) > 2 and not (after[1][:1] in "?�" and not lost):
             family = after[2]
             key = skeleton(family)
             if key in names.family:
@@ -401,7 +401,7 @@ def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, bool]]:
                 if caps:
                     yield start, after.end(), key, False
         before = _BEFORE.search(text, max(0, start - 48), start)
-        if before and (not names.is_given(before[1]) or skeleton(before[1]) in names.family):
+        if before and len(before[1]) > 2 and (not names.is_given(before[1]) or skeleton(before[1]) in names.family):
             key = skeleton(before[1])
             tail = _INITIALS.match(text, end + lost)
             # after a comma any word may come before a given name: it has to be a known family name

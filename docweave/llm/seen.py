@@ -65,7 +65,7 @@ def keyed(df: DataFrame, seq: str | None, part: str, key: str, shards: int) -> D
     return df.select(at.alias("seq"), F.col(part).cast("string").alias("part"), F.col(key).cast("string").alias("k")).mapInPandas(_digests(shards), _KEYS)
 
 
-def _ask(capacity: int, bound: float, growth: int, tightening: float, keep_state: bool):
+def _ask(capacity: int, bound: float, growth: int, tightening: float, keep_state: bool, block_rows: int):
     def rows(chain: BloomChain, shard: int) -> pd.DataFrame:
         return pd.DataFrame(chain.pieces()).assign(seq=_STATE, shard=shard, h=None, kind="state")
 
@@ -75,7 +75,7 @@ def _ask(capacity: int, bound: float, growth: int, tightening: float, keep_state
         for batch in batches:
             if not len(batch):
                 continue
-            cuts = np.flatnonzero(np.diff(batch["shard"].to_numpy())) + 1
+            cuts = np.union1d(np.flatnonzero(np.diff(batch["shard"].to_numpy())) + 1, np.arange(block_rows, len(batch), block_rows))
             for block in np.split(np.arange(len(batch)), cuts):
                 own = batch.iloc[block]
                 if own["shard"].iloc[0] != shard:
@@ -110,7 +110,7 @@ class SeenKeys:
     of its batch repeats: ``new``, ``filter`` (the chain says it is known) or
     ``repeat`` (an equal row of the same block came before). ``state`` is
     what a later run needs to carry on. ``capacity`` is that of the first
-    layer of a shard.
+    layer of a shard; rows are asked and added in blocks of ``block_rows``.
     """
 
     def __init__(
@@ -127,6 +127,7 @@ class SeenKeys:
         growth: int = 2,
         tightening: float = 0.5,
         keep_state: bool = True,
+        block_rows: int = 512,
     ):
         self.bound, self.shards = bound, shards
         self.keys = staged(keyed(writes, seq, part, key, shards), "keys")
@@ -140,7 +141,7 @@ class SeenKeys:
         if state is not None:
             rows = rows.unionByName(state.select(F.lit(_STATE).cast("long").alias("seq"), "shard", F.lit(None).cast("binary").alias("h"), *_STATE_COLUMNS))
         ordered = rows.repartition(shards, "shard").sortWithinPartitions("shard", "seq", "layer", "piece")
-        self._out = staged(ordered.mapInPandas(_ask(capacity, bound, growth, tightening, keep_state), _ANSWERS), "answers")
+        self._out = staged(ordered.mapInPandas(_ask(capacity, bound, growth, tightening, keep_state, block_rows), _ANSWERS), "answers")
 
     @property
     def answers(self) -> DataFrame:

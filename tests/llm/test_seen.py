@@ -75,7 +75,7 @@ def test_hot_key_nulls_and_wrong_answers(spark):
     rows = [(n, "c", str(n % 900) if n % 3 else '"hot"', "clash") for n in range(3000)] + [(5000, "c", None, "x"), (5001, "c", None, "x"), (5002, None, "1", "x"), (5003, None, "1.0", "x"), (5004, "c", "no json", "x")]
     w = spark.createDataFrame(rows, "seq long, coll string, k string, kind string").repartition(7)
     k = spark.createDataFrame([("c", "2.0"), ("c", None)], "coll string, k string")
-    keys = SeenKeys(w, k, shards=2, capacity=16, bound=0.5)
+    keys = SeenKeys(w, k, shards=2, capacity=16, bound=0.5, block_rows=32)
     assert sorted(r.seq for r in keys.found().collect()) == brute([r[:3] for r in rows], [("c", "2.0")])
     rate = keys.rate().first()
     loose = {r.seq for r in keys.found(exact=False).collect()}
