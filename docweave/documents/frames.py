@@ -23,21 +23,20 @@ ROWS = "seq long, id_key binary, doc string"
 
 
 def from_column(df: DataFrame, seq: str, doc: str) -> DataFrame:
-    """A table of JSON texts as a collection; null and unreadable texts are left out."""
+    """A table of JSON texts as a collection to be read.
+
+    Its documents have no key; null texts are left out, and texts that
+    aren't JSON objects match no filter.
+    """
+    return df.select(F.col(seq).cast("long").alias("seq"), F.lit(None).cast("binary").alias("id_key"), F.col(doc).cast("string").alias("doc")).where("doc IS NOT NULL")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = []
-            for text in batch["doc"]:
-                try:
-                    value = ejson.loads(text)
-                except (TypeError, ValueError):
-                    value = None
-                keys.append(sort_key(value.get("_id")) if isinstance(value, dict) else None)
-            out = batch.assign(id_key=pd.Series(keys, dtype=object, index=batch.index))
-            yield out[out["id_key"].notna()][["seq", "id_key", "doc"]]
 
-    return df.select(F.col(seq).cast("long").alias("seq"), F.col(doc).alias("doc")).where("doc IS NOT NULL").mapInPandas(run, ROWS)
+def read_document(text: str) -> dict | None:
+    try:
+        value = ejson.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
 
 
 def matching(frame: DataFrame, spec: dict | None, sort: list[tuple[str, int]] | None = None, compat: CompatProfile = DEFAULT) -> DataFrame:
@@ -52,7 +51,7 @@ def matching(frame: DataFrame, spec: dict | None, sort: list[tuple[str, int]] |
     if spec:
         for path, value in S.equalities(spec).items():
             if path == "_id" and value is not None and not isinstance(value, (dict, list)):
-                frame = frame.where(F.col("id_key") == F.lit(sort_key(value)))
+                frame = frame.where(F.col("id_key").isNull() | (F.col("id_key") == F.lit(sort_key(value))))
     if not tree.parts and not sort:
         return frame.withColumn("hit", F.lit(None).cast("string"))
 
@@ -61,8 +60,8 @@ def matching(frame: DataFrame, spec: dict | None, sort: list[tuple[str, int]] |
         for batch in batches:
             keep, hits, keys = [], [], [[] for _ in sort]
             for n, text in enumerate(batch["doc"]):
-                doc, hit = ejson.loads(text), {}
-                if holds(doc, hit):
+                doc, hit = read_document(text), {}
+                if doc is not None and holds(doc, hit):
                     keep.append(n)
                     hits.append(json.dumps(hit) if hit else None)
                     for at, (path, direction) in enumerate(sort):
@@ -121,8 +120,8 @@ def distinct_values(frame: DataFrame, path: str, spec: dict | None, compat: Comp
         for batch in batches:
             seen: dict[bytes, str] = {}
             for text in batch["doc"]:
-                doc = ejson.loads(text)
-                if holds(doc, {}):
+                doc = read_document(text)
+                if doc is not None and holds(doc, {}):
                     for v, _ in values(walk(doc, path), pack=False):
                         seen.setdefault(sort_key(v), ejson.dumps({"v": v}))
             yield pd.DataFrame(list(seen.items()), columns=["key", "value"])

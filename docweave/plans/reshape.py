@@ -178,6 +178,21 @@ def _typed_value(value, dtype: T.DataType) -> tuple[Column, T.DataType]:
     return literal(value, dtype).cast(dtype), dtype
 
 
+def conformed(col: Column, old: T.DataType, new: T.DataType) -> Column:
+    """A value of an old type as one of a type with more fields or wider numbers."""
+    if old == new:
+        return col
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        parts = []
+        for f in new.fields:
+            own = field_of(old, f.name)
+            parts.append((conformed(col.getField(f.name), own.dataType, f.dataType) if own else F.lit(None).cast(f.dataType)).alias(f.name))
+        return F.when(col.isNotNull(), F.struct(*parts))
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return F.transform(col, lambda x: conformed(x, old.elementType, new.elementType))
+    return col.cast(new)
+
+
 class TypedUpdate:
     """An update of a typed table.
 
@@ -190,8 +205,8 @@ class TypedUpdate:
         self.filter_spec, self.typed = filter or {}, Typed(schema, compat)
         self.array_filters = {next(iter(S.paths_of(S.parse_filter(f, compat)))).split(".")[0]: f for f in array_filters or ()}
 
-    def columns(self) -> dict[str, Column]:
-        """The columns that change, as they are for matching rows."""
+    def columns(self) -> dict[str, tuple[Column, T.DataType]]:
+        """The columns that change and their types, as they are for matching rows."""
         values: dict[str, tuple[Column, T.DataType]] = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in self.typed.schema.fields}
         touched = []
         for path, op, arg in self.update.changes:
@@ -205,7 +220,7 @@ class TypedUpdate:
             touched.append(top)
             old = values.get(top, (F.lit(None), _NOTHING))
             values[top] = self._rewrite(old[0], old[1], steps, top, lambda c, d, op=op, arg=arg: self._value(op, arg, c, d))
-        return {name: values[name][0] for name in dict.fromkeys(touched)}
+        return {name: values[name] for name in dict.fromkeys(touched)}
 
     def _rename(self, values: dict, path: str, target: str) -> None:
         old, dtype = values.get(path.split(".")[0], (F.lit(None), _NOTHING))
@@ -247,7 +262,7 @@ class TypedUpdate:
         inner = dtype.elementType
         below = lambda x: self._rewrite(x, inner, rest, f"{path}.{step}", change)
         kind = below(F.lit(None).cast(inner))[1]
-        keep = (lambda x: x) if kind == inner else (lambda x: x.cast(kind))
+        keep = lambda x: conformed(x, inner, kind)
         if step == "$[]":
             return F.transform(col, lambda x: below(x)[0]), T.ArrayType(kind)
         if step == "$":
@@ -280,6 +295,8 @@ class TypedUpdate:
             value, kind = _typed_value(arg, dtype)
             col = col.cast(kind)
             better = (value < col) if op == "$min" else (value > col)
+            if isinstance(kind, _FLOATS):  # NaN is below all numbers
+                better = better & ~F.isnan(col) if op == "$min" else better | F.isnan(col)
             return F.when(col.isNull() | better, value).otherwise(col), kind
         if op == "$currentDate":
             kind = T.TimestampType() if isinstance(dtype, T.NullType) else dtype
@@ -387,15 +404,16 @@ def update_rows(df: DataFrame, filter: dict | None, update: dict, array_filters:
     """The whole table after an update of all rows that match, in one projection."""
     changed = TypedUpdate(df.schema, update, filter, array_filters, compat, now).columns()
     matches = F.coalesce(Typed(df.schema, compat).filter(filter).pos, F.lit(False)) if filter else None
-    names = [f.name for f in df.schema.fields]
+    names = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for name in [*names, *(n for n in changed if n not in names)]:
         if name not in changed:
             out.append(F.col(f"`{name}`"))
             continue
-        new = changed[name]
+        new, kind = changed[name]
         if matches is not None:
-            new = F.when(matches, new).otherwise(F.col(f"`{name}`") if name in names else None)
+            old = conformed(F.col(f"`{name}`"), names[name], kind) if name in names else F.lit(None)
+            new = F.when(matches, new).otherwise(old)
         out.append(new.alias(name))
     return df.select(*out)
 

@@ -32,8 +32,7 @@ Leaf = Callable[[Column, T.DataType], Column | None]
 class Pred(NamedTuple):
     """``pos`` is true where the condition holds, ``neg`` where it doesn't.
 
-    ``pos`` may be null where it doesn't hold; ``neg`` is true for all rows
-    where ``pos`` isn't.
+    Each row makes exactly one of them true; the other one is false or null.
     """
 
     pos: Column
@@ -153,11 +152,20 @@ def _number_leaf(op: str, value, col: Column, dtype: T.DataType) -> Column | Non
         if not -(1 << 63) <= value < 1 << 63:
             holds = op in (("lt", "lte") if value > 0 else ("gt", "gte"))
             return col.isNotNull() if holds else None
-    elif isinstance(dtype, _FLOATS) and isinstance(value, int) and abs(value) > 1 << 53 and int(float(value)) != value:
-        if op == "eq":
+    elif isinstance(dtype, _FLOATS) and isinstance(value, int):
+        try:
+            near = float(value)
+        except OverflowError:
+            near = math.inf if value > 0 else -math.inf
+        if near == value:
+            value = near
+        elif op == "eq":
             return None
-        op = {"gte": "gt", "lte": "lt"}.get(op, op) if (float(value) > value) == (op in ("lt", "lte")) else {"gt": "gte", "lt": "lte"}.get(op, op)
-        value = float(value)
+        else:  # between two doubles: the bound moves to the one beside it
+            op = {"gt": "gte", "gte": "gte", "lt": "lt", "lte": "lt"}[op] if near > value else {"gt": "gt", "gte": "gt", "lt": "lte", "lte": "lte"}[op]
+            value = near
+    elif isinstance(dtype, T.DecimalType):
+        value = Decimal(str(value)) if isinstance(value, float) else Decimal(value)
     out = _apply(op, col, literal(value, dtype))
     # Spark has NaN above all numbers; here it compares with none
     return out & ~F.isnan(col) if isinstance(dtype, _FLOATS) and op in ("gt", "gte") else out
@@ -222,10 +230,10 @@ def _modulo(divisor: int, remainder: int, col: Column, dtype: T.DataType) -> Col
         return None
     d = F.lit(divisor)
     floor_mod = ((col % d) + d) % d
-    out = floor_mod.cast("long") == F.lit(remainder)
-    if isinstance(dtype, _FLOATS):
-        out = ~F.isnan(col) & (F.abs(col) != float("inf")) & out
-    return out
+    if isinstance(dtype, _INTEGERS):
+        return floor_mod == F.lit(remainder)
+    # NaN and infinities have no remainder
+    return F.coalesce(floor_mod.try_cast("long") == F.lit(remainder), F.lit(False))
 
 
 def leaf_of(op: str, arg, compat: CompatProfile) -> Leaf:
@@ -308,7 +316,9 @@ def _null_at(col: Column, dtype: T.DataType, steps: list[str], in_array: bool =
         f = field_of(dtype, step)
         if f is None:
             return None if in_array and positioned else F.lit(True)
-        return _null_at(col.getField(step), f.dataType, rest)
+        below = _null_at(col.getField(step), f.dataType, rest)
+        # a null in an array is no document that could miss a field
+        return _not_null_and(col, below) if in_array and positioned else below
     if isinstance(dtype, T.MapType):
         return _null_at(F.try_element_at(col, F.lit(step)), dtype.valueType, rest)
     if isinstance(dtype, T.ArrayType):
@@ -325,6 +335,27 @@ def _null_at(col: Column, dtype: T.DataType, steps: list[str], in_array: bool =
     return None if in_array and positioned else F.lit(True)
 
 
+def _present(col: Column, dtype: T.DataType, steps: list[str]) -> Column | None:
+    """Whether a path exists; a null element has its place in the array, a null field is missing."""
+    if not steps:
+        return col.isNotNull()
+    step, rest = steps[0], steps[1:]
+    if isinstance(dtype, T.StructType):
+        f = field_of(dtype, step)
+        return None if f is None else _present(col.getField(step), f.dataType, rest)
+    if isinstance(dtype, T.MapType):
+        return _present(F.try_element_at(col, F.lit(step)), dtype.valueType, rest)
+    if isinstance(dtype, T.ArrayType):
+        inner = dtype.elementType
+        parts = []
+        if isinstance(inner, (T.StructType, T.MapType)):
+            parts.append(_exists(col, inner, lambda x: _present(x, inner, steps)))
+        if step.isdigit():
+            parts.append(_present(F.get(col, F.lit(int(step))), inner, rest) if rest else F.coalesce(F.size(col) > int(step), F.lit(False)))
+        return _any(parts)
+    return None
+
+
 def _not_null_and(x: Column, test: Column | None) -> Column | None:
     return None if test is None else x.isNotNull() & test
 
@@ -389,8 +420,9 @@ class Typed:
             return _never()
         col, dtype, steps = at
         if op == "exists":
-            pos = reached(col, dtype, steps, lambda c, d, p: c.isNotNull())
-            return _never() if pos is None else Pred(pos, pos.isNull() | ~pos)
+            pos = _present(col, dtype, steps)
+            plain = self.plain(test.path)
+            return _never() if pos is None else Pred(pos, plain[0].isNull() if plain else ~F.coalesce(pos, F.lit(False)))
         if op == "size":
             return _general(reached(col, dtype, steps, lambda c, d, p: F.when(c.isNotNull(), F.size(c) == arg) if isinstance(d, T.ArrayType) else None))
         if op == "elem":
@@ -447,7 +479,7 @@ class Typed:
         if node.op == "eq" and node.arg is None:
             return _null_at(col, dtype, steps) if steps else col.isNull()
         if node.op == "exists":
-            return reached(col, dtype, steps, lambda c, d, p: c.isNotNull()) if steps else F.lit(True)
+            return _present(col, dtype, steps) if steps else F.lit(True)
         if node.op == "size":
             return reached(col, dtype, steps, lambda c, d, p: F.size(c) == node.arg if isinstance(d, T.ArrayType) else None)
         if node.op == "elem":

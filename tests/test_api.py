@@ -129,6 +129,15 @@ def test_engines(spark, tmp_path, engine):
             Client(repo, spark=spark, storage="nope")
 
 
+def test_engines_that_need_a_library(spark, tmp_path):
+    pytest.importorskip("pyspark")
+    try:
+        import lmdb  # noqa: F401
+    except ImportError:
+        with pytest.raises(ConfigurationError):
+            Client(str(tmp_path), spark=spark, storage="lightning")
+
+
 EVERY_TYPE = {
     "_id": ObjectId("5f" * 12), "i": 1, "big": 2**40, "l": Int64(5), "f": 1.5, "d": Decimal128("1.10"), "n": None, "b": True, "s": "é\u0000x", "o": {"z": 1, "a": [1, {"q": 2}]},
     "bin": b"ab", "bin4": Binary(b"x" * 16, 4), "re": Regex("a.b", "i"), "ts": Timestamp(4, 13), "code": Code("f()"), "scoped": Code("g()", {"x": 1}), "min": MinKey(), "max": MaxKey(),
