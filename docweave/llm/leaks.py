@@ -259,18 +259,70 @@ def _search(items: _Items, least_words: int):
     return run
 
 
+def _proximity(items: _Items, least_share: float, spread: float):
+    """Windows of a document that hold most of an item's rarest terms, in any order."""
+
+    def run(segment: pd.DataFrame) -> pd.DataFrame:
+        head = segment[segment["term"].isna()].iloc[0]
+        ids, starts = np.frombuffer(zlib.decompress(head["positions"]), "<i8").reshape(2, -1)
+        lists: dict[int, list[np.ndarray]] = {}
+        for term, data, matches in zip(segment["term"], segment["positions"], segment["matches"]):
+            if term is not None:
+                places = _unpacked(data)
+                for m in matches:
+                    lists.setdefault(int(m), []).append(places)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for item, terms in enumerate(items.terms):
+            rare = sorted({int(terms[j]) for j in items.anchors[item].tolist()})
+            needed = max(2, int(np.ceil(least_share * len(rare))))
+            held = [(p, np.full(len(p), n)) for n, t in enumerate(rare) for p in lists.get(t, ())]
+            if len({int(n[0]) for _, n in held if len(n)}) < needed:
+                continue
+            places, labels = np.concatenate([p for p, _ in held]), np.concatenate([n for _, n in held])
+            order = np.argsort(places, kind="stable")
+            places, labels = places[order], labels[order]
+            doc_of = np.searchsorted(starts, places, side="right") - 1
+            width = int(spread * len(terms))
+            # ends of the windows that start at each place, within its document
+            ends = np.minimum(np.searchsorted(places, places + width, side="right"), np.searchsorted(doc_of, doc_of, side="right"))
+            for a in np.flatnonzero(ends - np.arange(len(places)) >= needed).tolist():
+                n = len(set(labels[a : ends[a]].tolist()))
+                if n >= needed:
+                    key = (int(ids[doc_of[a]]), items.ids[item])
+                    found[key] = max(found.get(key, (0, 0)), (n, len(rare)))
+        return pd.DataFrame([(d, i, n, m) for (d, i), (n, m) in found.items()], columns=["doc_id", "item_id", "n_terms", "of_terms"])
+
+    return run
+
+
+def _prepared(index: CorpusIndex, items: DataFrame, item: str, text: str, window: int, limit: int) -> tuple[_Items, list[str]]:
+    rows = small_rows(items.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL"), limit, "the set of items")
+    held = _Items([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id, r.text))])
+    vocabulary = list(held.vocabulary) or ["\x00"]
+    held.choose_anchors(index.frequencies(vocabulary), window=window)
+    return held, vocabulary
+
+
+def near_items(index: CorpusIndex, items: DataFrame, item: str = "item_id", text: str = "text", least_share: float = 0.8, spread: float = 1.5, limit: int = 200_000) -> DataFrame:
+    """``doc_id, item_id, n_terms, of_terms``: documents that reword or reorder an item.
+
+    A window ``spread`` times as long as the item holds at least
+    ``least_share`` of the item's rarest terms (one for each window of its
+    words), in any order.
+    """
+    held, vocabulary = _prepared(index, items, item, text, LEAST_WORDS, limit)
+    relevant = index.postings.mapInPandas(_relevant(vocabulary), _SCHEMA + ", matches array<int>")
+    pairs = relevant.groupBy("segment").applyInPandas(_proximity(held, least_share, spread), "doc_id long, item_id long, n_terms int, of_terms int")
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("n_terms").alias("n_terms"), F.max("of_terms").alias("of_terms"))
+
+
 def search_items(index: CorpusIndex, items: DataFrame, item: str = "item_id", text: str = "text", least_words: int = LEAST_WORDS, limit: int = 200_000) -> DataFrame:
     """``doc_id, item_id, n_words, item_start``: the longest run of each pair.
 
     The items are the stated query set; they go to every task and may be at
     most ``limit``. Items without words match nothing.
     """
-    rows = small_rows(items.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL"), limit, "the set of items")
-    held = _Items([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id, r.text))])
-    vocabulary = list(held.vocabulary)
-    if not vocabulary:
-        vocabulary = ["\x00"]
-    held.choose_anchors(index.frequencies(vocabulary), window=least_words)
+    held, vocabulary = _prepared(index, items, item, text, least_words, limit)
     relevant = index.postings.mapInPandas(_relevant(vocabulary), _SCHEMA + ", matches array<int>")
     pairs = relevant.groupBy("segment").applyInPandas(_search(held, least_words), "doc_id long, item_id long, n_words int, item_start int")
     return pairs.groupBy("doc_id", "item_id").agg(F.max_by("n_words", "n_words").alias("n_words"), F.max_by("item_start", "n_words").alias("item_start"))

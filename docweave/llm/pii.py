@@ -150,9 +150,13 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 # --- phone and identity numbers ------------------------------------------
 
-#: A run that may be a number: starts with a digit or an opening sign, or with letters and digits mixed.
+#: One group of a number, up to a final letter; nothing of a word may follow.
+_GROUP = r"[0-9OolI|SB]{1,16}+[A-Z]?+(?![\w@])"
+#: A run that may be a number: groups of digits with signs between them, or letters and digits mixed.
+#: Groups are atomic and their number is bounded, so that no text takes more than linear time.
 _RUN = re.compile(
-    r"(?<![\w@.])(?:[+(]{0,2}[0-9OolI|][0-9OolI|SB]{0,14}\)?(?:[ ./ -]{1,2}|[ ]?\r?\n)?(?:[0-9OolI|SB]+[ ./-]?\r?\n?)+[A-Z]?|[A-Z]{1,2}[ \r\n]{0,2}\d[\dOlI|SBA-Z .\r\n-]{5,16})(?![\w@])"
+    rf"(?<![\w@.])(?:[+(]{{0,2}}(?=[0-9OolI|]){_GROUP}\)?(?:(?:[ ./-]{{1,2}}|[ ]?\r?\n|(?<=\)))\(?{_GROUP}\)?){{0,9}}(?:-[A-Z](?![\w@]))?"
+    r"|[A-Z]{1,2}[ \r\n]{0,2}\d[\dOlI|SBA-Z .\r\n-]{5,16}(?![\w@]))"
 )
 _DIGITISED = str.maketrans("OolI|SB", "0011158")
 _DIGIT_LIKE = re.compile(r"(?<=[0-9.+/() -])[OolI|SB]+(?=[0-9.+/() -]|\Z)|(?<=\d)[OolI|SB]+(?=\d|\Z)")

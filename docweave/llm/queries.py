@@ -34,6 +34,12 @@ def p6_suites(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(items.select("item_id", "suite", "lang"), "item_id").groupBy("suite", "lang").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+def p6_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold most of an item's rare terms close together, in any order."""
+    index = leaks.CorpusIndex(_table(spark, sf, "documents"))
+    return leaks.near_items(index, _table(spark, sf, "eval_items"))
+
+
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.Mixture(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets")).rows()
 
@@ -51,7 +57,7 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(docs, pii.personal_data(docs, _table(spark, sf, "name_list")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rate, p6_found, p6_suites, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rate, p6_found, p6_suites, p6_proximity, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 SQL: dict[str, str] = {
     "p1_found": f"""

@@ -93,6 +93,15 @@ def search_local(docs, items, size):
     return out
 
 
+def test_proximity(spark):
+    shuffled = " ".join(random.Random(1).sample(ITEM.split(), len(ITEM.split())))
+    far = (" " + OTHER * 3 + " ").join(ITEM.split())
+    docs = [(1, shuffled), (2, OTHER), (3, None), (4, part(0, 10)), (5, ITEM), (6, far)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = leaks.near_items(leaks.CorpusIndex(d), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [1, 5] and all(r.n_terms <= r.of_terms for r in found)
+
+
 def test_long_document_and_repeats(spark):
     long = " ".join([OTHER] * 400)
     assert search(spark, [(1, long + " " + part(0, 15) + " " + long), (1, "x"), (2, part(5, 13)), (2, part(5, 13)), (3, long)], segment_tokens=1000) == [(1, 1), (2, 1)]
