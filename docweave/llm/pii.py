@@ -254,14 +254,15 @@ _DIGIT_WORDS = {
     "oh": "0", "zwo": "2",
 }
 _ANY_DIGIT_WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-#: Seven or more digits one by one, at least two of them as words.
-_SPELLED = re.compile(rf"(?<![\w])(?:plus\s+)?(?:(?:{_ANY_DIGIT_WORD})(?:[\s,.-]+|(?![\w]))){{7,}}", re.I)
-_SPELLED_SIGN = re.compile(rf"(?<!\w)(?:{_ANY_DIGIT_WORD})[\s,.-]+(?:{_ANY_DIGIT_WORD})[\s,.-]+(?:{_ANY_DIGIT_WORD})(?!\w)", re.I)
+#: Seven or more digits one by one, as words.
+_SPELLED = re.compile(rf"(?<![\w])(?:(?:{_ANY_DIGIT_WORD})(?:[\s,.-]+|(?![\w]))){{7,}}", re.I)
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
-    for m in _SPELLED.finditer(text):
-        yield m.start(), m.start() + len(m[0].rstrip(" ,.-\r\n"))
+    words = text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
+    if sum(map(_DIGIT_WORDS.__contains__, words)) >= 7:  # most texts have fewer
+        for m in _SPELLED.finditer(text):
+            yield m.start(), m.start() + len(m[0].rstrip(" ,.-\r\n"))
 
 
 # --- street addresses ----------------------------------------------------
@@ -424,8 +425,7 @@ def find_spans(text: str, names: Names) -> list[tuple[str, int, int, str | None,
         found.append(("email", a, b, None, True))
     for kind, a, b in _numbers(clean):
         found.append((kind, a, b, None, True))
-    if _SPELLED_SIGN.search(clean):
-        found += [("phone", a, b, None, True) for a, b in _spelled(clean)]
+    found += [("phone", a, b, None, True) for a, b in _spelled(clean)]
     numbers = [(a, b) for _, a, b, _, _ in found]
     for a, b in _addresses(clean):
         if not any(a < y and x < b for x, y in numbers):
