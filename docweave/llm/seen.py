@@ -173,18 +173,14 @@ class SeenKeys:
         Wrong answers are new keys taken for known ones; the other kind
         doesn't occur, since the chain never forgets.
         """
-        kinds = self.answers.agg(F.count_if(F.col("kind") == "new").alias("n_right_new"))
-        wrong = self.checked().agg(F.count_if(~F.col("right")).alias("n_wrong"))
-        layers = self.state.agg(F.coalesce(F.max("layer") + 1, F.lit(0)).alias("n_layers"))
-        n_new = F.col("n_right_new") + F.col("n_wrong")
-        one = kinds.withColumn("one", F.lit(1)).join(wrong.withColumn("one", F.lit(1)), "one").join(layers.withColumn("one", F.lit(1)), "one")
-        return one.select(
-            n_new.alias("n_new"),
-            "n_wrong",
-            F.coalesce(F.try_divide("n_wrong", n_new), F.lit(0.0)).alias("wrong_rate"),
-            F.lit(self.bound).alias("error_bound"),
-            "n_layers",
-        )
+        counts = (
+            self.answers.agg(F.count_if(F.col("kind") == "new").alias("n")).select(F.lit("new").alias("what"), "n")
+            .unionAll(self.checked().agg(F.count_if(~F.col("right")).alias("n")).select(F.lit("wrong"), "n"))
+            .unionAll(self.state.agg(F.coalesce(F.max("layer") + 1, F.lit(0)).cast("long").alias("n")).select(F.lit("layers"), "n"))
+        )
+        value = lambda what: F.max(F.when(F.col("what") == what, F.col("n")))
+        sums = counts.agg((value("new") + value("wrong")).alias("n_new"), value("wrong").alias("n_wrong"), value("layers").alias("n_layers"))
+        return sums.select("n_new", "n_wrong", F.coalesce(F.try_divide("n_wrong", "n_new"), F.lit(0.0)).alias("wrong_rate"), F.lit(self.bound).alias("error_bound"), "n_layers")
 
 
 def seen_before(writes: DataFrame, known: DataFrame | None = None, **options) -> DataFrame:
