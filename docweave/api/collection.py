@@ -20,6 +20,7 @@ from docweave.functions import ejson
 from docweave.functions.bsontypes import ObjectId
 from docweave.functions.order import same, sort_key
 from docweave.plans.spec import equalities, parse_filter
+from docweave.sources.store import SnapshotStore
 
 _UNSUPPORTED = (
     "aggregate", "aggregate_raw_batches", "map_reduce", "inline_map_reduce", "bulk_write", "find_one_and_delete", "find_one_and_replace", "create_indexes",
@@ -206,13 +207,15 @@ class Collection:
         """Apply an update to all matches, or to one row; (matched, modified)."""
         from docweave.session import staged
 
-        done = staged(frames.updated(self.frame(), filter, update, only, self.compat), "update")
+        whole = not isinstance(self._store, SnapshotStore)
+        own = self.frame() if only is None or whole else self._store.load(self.database.name, self.name, [only])
+        done = staged(frames.updated(own, filter, update, only, self.compat), "update")
         sums = done.agg(F.count_if("matched").alias("n"), F.count_if("modified").alias("m"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error")).first()
         if sums.error:
             kind, message, code = json.loads(sums.error)
             raise _ERRORS.get(kind, OperationFailure)(message, code)
         if sums.m:
-            self._store.replace(self.database.name, self.name, done.select("seq", "id_key", "doc"))
+            self._store.rewrite(self.database.name, self.name, done.select("seq", "id_key", "doc"), done.where("modified").select("seq"))
         return sums.n, sums.m
 
     def _upsert(self, filter: dict, update) -> Any:
@@ -321,7 +324,8 @@ class Collection:
         first = self._first_match(filter)
         if first is None:
             return DeleteResult(0)
-        self._store.replace(self.database.name, self.name, self.frame().where(F.col("seq") != first))
+        gone = self._store.spark.createDataFrame([(first,)], "seq long")
+        self._store.rewrite(self.database.name, self.name, self.frame().where(F.col("seq") != first), gone)
         return DeleteResult(1)
 
     def delete_many(self, filter, **_) -> DeleteResult:
@@ -332,12 +336,16 @@ class Collection:
         gone = staged(frames.matching(self.frame(), filter, compat=self.compat).select("seq"), "delete")
         n = gone.count()
         if n:
-            self._store.replace(self.database.name, self.name, self.frame().join(gone, "seq", "left_anti"))
+            self._store.rewrite(self.database.name, self.name, self.frame().join(gone, "seq", "left_anti"), gone)
         return DeleteResult(n)
 
     def drop(self) -> None:
         self.database.drop_collection(self.name)
 
+    def compact(self) -> None:
+        """Store the collection as one part, after many small inserts."""
+        self._store.compact(self.database.name, self.name)
+
     def create_index(self, keys, **_) -> str:
         """Accepted and ignored: there are no indexes."""
         pairs = sort_pairs(keys)

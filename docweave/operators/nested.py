@@ -175,11 +175,11 @@ def _stored(key: str) -> str:
     return "~" + key if key[:1] == "$" else key
 
 
-_LEVEL = "array<struct<path:string,parent:string,pos:array<int>,e:variant>>"
+_LEVEL = "array<struct<__path:string,__parent:string,__pos:array<int>,__e:variant>>"
 _LINKS = "array<struct<parent_path:string,child_path:string>>"
 
 
-def links_sql(shapes: Iterable[Shape], root: str = "d", guard: bool = False) -> str:
+def links_sql(shapes: Iterable[Shape], root: str = "__doc", guard: bool = False) -> str:
     """SQL for the array of ``(parent_path, child_path)`` of all shapes.
 
     The shapes form a tree, so that an array which several of them pass is
@@ -247,8 +247,8 @@ def links_sql(shapes: Iterable[Shape], root: str = "d", guard: bool = False) ->
     return body
 
 
-def projection_sql(shape: Shape, root: str = "d", guard: bool = False) -> str:
-    """SQL for the array of ``(path, parent, pos, e)`` of a shape in one document."""
+def projection_sql(shape: Shape, root: str = "__doc", guard: bool = False) -> str:
+    """SQL for the array of ``(__path, __parent, __pos, __e)`` of a shape in one document."""
 
     def build(node: str, at: int, path: str, parent: str, pos: str, depth: int) -> str:
         names = []
@@ -262,8 +262,8 @@ def projection_sql(shape: Shape, root: str = "d", guard: bool = False) -> str:
         here_pos = f"concat({pos}, array({i}))"
         items = _items(node, [_stored(n) for n in names])
         if at == len(shape.steps) - 1:
-            rows = f"transform({items}, ({e}, {i}) -> named_struct('path', {here}, 'parent', {parent}, 'pos', {here_pos}, 'e', {e}))"
-            return f"filter({rows}, x -> {_is_object('x.e')})"
+            rows = f"transform({items}, ({e}, {i}) -> named_struct('__path', {here}, '__parent', {parent}, '__pos', {here_pos}, '__e', {e}))"
+            return f"filter({rows}, x -> {_is_object('x.__e')})"
         into_object = shape.steps[at + 1] != _ELEMENT
         inner = build(e, at + 1, here, here if into_object else parent, here_pos, depth + 1)
         if guard and into_object:
@@ -274,7 +274,7 @@ def projection_sql(shape: Shape, root: str = "d", guard: bool = False) -> str:
 
 
 def with_variant(df: DataFrame, keep: list[str], value: str = "v", guard: bool = True) -> DataFrame:
-    """``keep`` columns and ``d``, the document as VARIANT.
+    """``keep`` columns and ``__doc``, the document as VARIANT.
 
     VARIANT orders the keys of an object; where some object has ``$`` keys
     beside others (``guard``), those that aren't the first are renamed
@@ -283,14 +283,15 @@ def with_variant(df: DataFrame, keep: list[str], value: str = "v", guard: bool =
     text = F.col(value).cast("string")
     if guard:
         text = F.regexp_replace(text, r',(\s*)"\$', r',$1"~\$')
-    return df.select(*keep, F.try_parse_json(text).alias("d"))
+    return df.select(*keep, F.try_parse_json(text).alias("__doc"))
 
 
-def element_rows(df: DataFrame, keep: list[str], value: str = "v", kind: str | None = None) -> DataFrame:
+def element_rows(df: DataFrame, keep: list[str], value: str = "v", kind: str | None = None, known: tuple[list[Shape], bool] | None = None) -> DataFrame:
     """``keep, parent_path, child_path``: each object that is an array element.
 
     ``kind`` may name a column whose values have shapes of their own; it
-    only saves work. Paths are dotted with 0-based positions;
+    only saves work. ``known`` may be what ``find_shapes`` gave for these
+    documents, to save that pass. Paths are dotted with 0-based positions;
     ``parent_path`` is the nearest enclosing element, empty if there is
     none. Null documents, text that isn't JSON and objects that repeat a
     name (both listed by ``unreadable``) have no rows; an object whose first
@@ -298,7 +299,7 @@ def element_rows(df: DataFrame, keep: list[str], value: str = "v", kind: str | N
     scalars and nulls in an array keep their position. Documents without
     arrays of objects have no rows; an empty table gives an empty result.
     """
-    shapes, guard = find_shapes(df, value, kind)
+    shapes, guard = known or find_shapes(df, value, kind)
     targets: dict[str | None, list[Shape]] = {}
     for s in shapes:
         if s.steps:
@@ -316,7 +317,7 @@ def element_rows(df: DataFrame, keep: list[str], value: str = "v", kind: str | N
 
 
 def _leaf(field: str) -> Column:
-    node = _member("e", _stored(field))
+    node = _member("__e", _stored(field))
     text = F.expr(f"coalesce(try_variant_get({node}, '$', 'string'), to_json({node}))")
     return F.when(F.expr(f"is_variant_null({node})"), None).otherwise(text)
 
@@ -331,14 +332,17 @@ def _column_names(fields: Iterable[str]) -> list[str]:
     return out
 
 
-def flat_tables(df: DataFrame, keep: list[str], value: str = "v") -> dict[str, DataFrame]:
+def flat_tables(df: DataFrame, keep: list[str], value: str = "v", known: tuple[list[Shape], bool] | None = None) -> dict[str, DataFrame]:
     """One flat table per shape, by its name (the root's is empty).
 
+    Each is a projection of its own with one ``inline``; nothing is read for
+    tables that aren't used.
+
     Columns: ``keep``, ``parent_path``, ``child_path``, ``positions`` (of all
     ancestors), then ``f:`` and the name for each scalar field as text,
     wrapped values as JSON, null where null or missing.
     """
-    shapes, guard = find_shapes(df, value)
+    shapes, guard = known or find_shapes(df, value)
     parsed = with_variant(df, keep, value, guard)
     tables = {}
     for s in merged(shapes):
@@ -346,9 +350,9 @@ def flat_tables(df: DataFrame, keep: list[str], value: str = "v") -> dict[str, D
         leaves = [_leaf(f).alias(f"f:{n}") for f, n in zip(s.fields, names)]
         if s.steps:
             rows = parsed.select(*keep, F.inline(F.expr(projection_sql(s, guard=guard))))
-            tables[s.name] = rows.select(*keep, F.col("parent").alias("parent_path"), F.col("path").alias("child_path"), F.col("pos").alias("positions"), *leaves)
+            tables[s.name] = rows.select(*keep, F.col("__parent").alias("parent_path"), F.col("__path").alias("child_path"), F.col("__pos").alias("positions"), *leaves)
         else:
-            rows = parsed.where("d IS NOT NULL").withColumnRenamed("d", "e")
+            rows = parsed.where("__doc IS NOT NULL").withColumnRenamed("__doc", "__e")
             empty = F.lit("")
             tables[""] = rows.select(*keep, empty.alias("parent_path"), empty.alias("child_path"), F.array().cast("array<int>").alias("positions"), *leaves)
     return tables

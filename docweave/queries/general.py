@@ -18,12 +18,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows, documents and deepest position of each flat table."""
-    out = None
-    for name, rows in nested.flat_tables(table(spark, sf, "doc_store"), ["row_id", "coll"]).items():
-        part = rows.select(F.lit(name).alias("table_name"), "row_id", F.size("positions").alias("depth"))
-        out = part if out is None else out.unionAll(part)
-    return out.groupBy("table_name").agg(F.count("*").alias("n_rows"), F.count_distinct("row_id").alias("n_docs"), F.max("depth").alias("depth"))
+    """Rows and documents of each flat table, named by its path, and its depth."""
+    name = F.regexp_replace("child_path", r"(^|\.)[0-9]+", "$1[]")
+    rows = nested.element_rows(table(spark, sf, "doc_store"), ["row_id"], kind="coll").select(name.alias("table_name"), "row_id")
+    per_doc = rows.groupBy("table_name", "row_id").agg(F.count("*").alias("n"))
+    depth = F.size(F.split("table_name", r"\[\]")) - 1
+    return per_doc.groupBy("table_name").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_docs")).withColumn("depth", depth)
+
+
+def p2_cargo(spark: SparkSession, sf: str) -> DataFrame:
+    """One of the flat tables, with its link and two of its fields."""
+    cargo = nested.flat_tables(table(spark, sf, "doc_store"), ["row_id"])["legs.[].cargo.[]"]
+    return cargo.select("row_id", "parent_path", "child_path", F.col("`f:item`").alias("item"), F.col("`f:qty`").alias("qty"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +74,7 @@ def p5_summary(spark: SparkSession, sf: str) -> DataFrame:
     return differ.diff_summary(p5_found(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p3_found, p3_lifespans, p3_unified, p4_found, p4_valid, p4_loans, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_cargo, p3_found, p3_lifespans, p3_unified, p4_found, p4_valid, p4_loans, p5_found, p5_summary)}
 
 _P2 = r"""
 SELECT row_id,
@@ -146,6 +152,15 @@ WHERE x.c IS DISTINCT FROM y.c
 
 SQL: dict[str, str] = {
     "p2_found": _P2,
+    "p2_tables": f"""
+SELECT table_name, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_docs, CAST(len(string_split(table_name, '[]')) - 1 AS INTEGER) AS depth
+FROM (SELECT regexp_replace(child_path, '(^|\\.)[0-9]+', '\\1[]', 'g') AS table_name, row_id, count(*) AS n FROM ({_P2}) GROUP BY 1, 2) GROUP BY 1
+""",
+    "p2_cargo": f"""
+SELECT row_id, parent_path, child_path, json_extract_string(value, '$.item') AS item, json_extract_string(value, '$.qty') AS qty
+FROM ({_P2.replace("SELECT row_id,", "SELECT row_id, value,", 1).replace("SELECT d.row_id, t.fullkey,", "SELECT d.row_id, t.value, t.fullkey,")})
+WHERE regexp_full_match(child_path, 'legs\\.[0-9]+\\.cargo\\.[0-9]+')
+""",
     "p4_found": _P4,
     "p5_found": _P5,
     "p5_summary": f"""

@@ -67,6 +67,23 @@ def test_crud(client):
     assert client.shop.list_collection_names() == [] and coll.count_documents() == 0
 
 
+def test_changes_touch_only_their_parts(client):
+    coll = client.shop.parts
+    for start in (0, 10, 20):
+        coll.insert_many([{"_id": n, "a": n} for n in range(start, start + 10)])
+    names = lambda: [p["name"] for p in client.store._manifest("shop", "parts")["parts"]]
+    before = names()
+    assert coll.update_one({"_id": 12}, {"$set": {"a": -1}}).modified_count == 1
+    after = names()
+    assert after[0] == before[0] and after[2] == before[2] and after[1] != before[1]
+    assert coll.update_many({"a": {"$gte": 25}}, {"$inc": {"a": 100}}).modified_count == 5 and names()[:2] == after[:2]
+    assert coll.delete_one({"_id": 0}).deleted_count == 1 and coll.delete_many({"_id": {"$gte": 10, "$lt": 20}}).deleted_count == 10
+    assert len(names()) == 2 and [d["_id"] for d in coll.find()] == [*range(1, 10), *range(20, 30)]
+    coll.insert_one({"_id": "new"})
+    coll.compact()
+    assert len(names()) == 1 and [d["_id"] for d in coll.find()][-1] == "new" and coll.count_documents() == 20
+
+
 def test_names_and_cursors(client):
     for bad in ("", "a$b", "system.x", ".a", "a..b"):
         with pytest.raises(InvalidName):

@@ -53,6 +53,14 @@ def test_element_rows_on_data(spark, data_dir):
     assert got == set().union(*(brute(r.row_id, r.v) for r in df.select("row_id", "v").collect()))
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, 2, 3, "x", '{"a":[{"b":[{"e":1}]}],"d":5}')], "d long, e long, m long, path string, v string")
+    keep = ["d", "e", "m", "path"]
+    assert sorted(tuple(r) for r in nested.element_rows(df, keep).collect()) == [(1, 2, 3, "x", "", "a.0"), (1, 2, 3, "x", "a.0", "a.0.b.0")]
+    tables = nested.flat_tables(df, keep)
+    assert [tuple(r) for r in tables["a.[].b.[]"].collect()] == [(1, 2, 3, "x", "a.0", "a.0.b.0", [0, 0], "1")] and [tuple(r) for r in tables[""].collect()] == [(1, 2, 3, "x", "", "", [], "5")]
+
+
 def test_flat_tables(spark):
     df = spark.createDataFrame([(1, '{"_id":7,"a":[{"b":"x","c":[{"d":1},{"d":{"$date":5}}]},{"B":true}]}'), (2, None)], "row_id long, v string")
     tables = nested.flat_tables(df, ["row_id"])
