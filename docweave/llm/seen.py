@@ -134,7 +134,8 @@ class SeenKeys:
         first = self.keys.where("NOT repeat AND h IS NOT NULL").select("seq", "shard", "h")
         self.firsts = first
         if known is not None:
-            self.firsts = first.unionByName(keyed(known, None, part, key, shards).where("NOT repeat AND h IS NOT NULL").select("seq", "shard", "h"))
+            held = staged(keyed(known, None, part, key, shards).where("NOT repeat AND h IS NOT NULL").select("seq", "shard", "h"), "known")
+            self.firsts = first.unionByName(held)
         rows = self.firsts
         types = dict(c.split() for c in _ANSWERS.split(", "))
         rows = rows.select("seq", "shard", "h", *[F.lit(None).cast(types[c]).alias(c) for c in _STATE_COLUMNS])
