@@ -22,6 +22,7 @@ from docweave.functions.order import same, sort_key
 from docweave.plans.spec import equalities, parse_filter
 from docweave.sources.store import SnapshotStore
 
+#: Methods of the collection API that exist elsewhere and raise NotImplementedError here.
 _UNSUPPORTED = (
     "aggregate", "aggregate_raw_batches", "map_reduce", "inline_map_reduce", "bulk_write", "find_one_and_delete", "find_one_and_replace", "create_indexes",
     "drop_index", "drop_indexes", "reindex", "list_indexes", "index_information", "rename", "options", "parallel_scan", "find_raw_batches", "watch",

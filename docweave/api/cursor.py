@@ -12,6 +12,7 @@ from docweave.errors import InvalidOperation, OperationFailure
 from docweave.functions import ejson
 from docweave.plans.spec import parse_filter
 
+#: Methods of the cursor API that exist elsewhere and raise NotImplementedError here.
 _UNSUPPORTED = ("collation", "comment", "distinct", "hint", "max", "max_await_time_ms", "max_time_ms", "min", "remove_option", "where", "batch_size")
 
 

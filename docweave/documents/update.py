@@ -15,6 +15,7 @@ from docweave.functions.bsontypes import Decimal128, Int64, Timestamp
 from docweave.functions.order import same, sort_key
 from docweave.plans import spec as S
 
+#: The update operators.
 _OPERATORS = (
     "$inc", "$mul", "$min", "$max", "$set", "$setOnInsert", "$unset", "$rename", "$currentDate", "$addToSet", "$pop", "$pull", "$pullAll", "$push",
 )
