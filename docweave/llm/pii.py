@@ -271,7 +271,7 @@ _HOUSE = re.compile(r"(?<![\w.,:/@+-])([0-9OlI|]{1,4}[A-Za-z]?)(?![\w@:/-])(\s+(
 _UPPER = "A-ZÀ-ÖØ-ÞŒ0-9|?�"
 _NAME = rf"[{_UPPER}][\w|?�'’]*(?:-(?:\r?\n)?[\w|?�'’]+)*"
 #: Kinds of street by language.
-_EN_KINDS = {skeleton(w) for w in "st street ave avenue lane ln road rd close drive dr way court ct crescent place boulevard blvd terrace row gardens grove mews".split()}
+_EN_KINDS = {skeleton(w) for w in "st street ave avenue lane road rd close drive dr way court ct crescent place boulevard blvd terrace row gardens grove mews".split()}
 _FR_KINDS = "|".join(map(fold, (r"rue avenue av\. boulevard bd\.? impasse quai place chemin allee route cours passage square sentier venelle").split()))
 _ES_KINDS = r"e/|ealle|avda\.?|avenlda|plaza|pza\.?|paseo|eamlno|ronda|travesla|glorleta|earretera|eallejon|euesta"
 _DE_ENDS = r"(?:stra(?:ss|.)e|str\.?|gasse|weg|stleg|platz|allee|rlng|ufer|damm|ebaussee|pfad|zelle)"
@@ -279,7 +279,7 @@ _EN_STREET = re.compile(rf"\s+((?:{_NAME}\s+){{1,3}}?)({_NAME})(\.)?(?![\w])")
 _FR_STREET = re.compile(rf",?\s+(?:{_FR_KINDS})\s+(?:(?:de\s+la|du|des|de|aux|au|a\s+la)\s+|(?:de\s+)?[ld]['’])?")
 _FR_NAME = re.compile(rf"{_NAME}(?: (?![0-9]){_NAME})*")
 _ES_BEFORE = re.compile(rf"(?<!\w)(?:{_ES_KINDS})\s*(?:de\s+(?:la|los|las|el)\s+|del\s+|de\s+)?[\w?�'-]+(?:\s+[\w?�'-]+)??,?\s+(?:n[\Wo]?\.?\s*)?\Z")
-_DE_BEFORE = re.compile(rf"(?<![\w-])(?:(?:(?:alte|neue|grosse|klelne|obere|untere|blntere)[rn]?|am|lm|zum|zur|an\s+der|auf\s+der)\s+[\w?�-]+|[\w?�-]{{2,}}{_DE_ENDS}),?\s+\Z")
+_DE_BEFORE = re.compile(rf"(?<![\w-])(?:(?:(?:alte|neue|grosse|klelne|obere|untere|blntere)[rn]?|am|lm|zum|zur|an\s+der|auf\s+der)\s+)?[\w?�-]{{2,}}{_DE_ENDS},?\s+\Z")
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
@@ -317,7 +317,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
 
 
 #: Fixed value: kinds of street that are written with a closing dot.
-_ABBREVIATED = {skeleton("ave"), skeleton("blvd"), skeleton("rd"), skeleton("dr"), skeleton("ln"), skeleton("ct")}
+_ABBREVIATED = {skeleton("ave"), skeleton("blvd"), skeleton("rd"), skeleton("dr"), skeleton("ct")}
 
 
 def _longer_street(text: str, at: int) -> int | None:

@@ -42,7 +42,7 @@ def test_found(text, kind, item):
     "text",
     [
         "Order 5085-479-9615 never arrived.", "Batch 65-402789, shelf nine.", "Lot 842-242/B, étagère.", "Lote 555-0142, estante", "The reel says 03:82:37.", "Rip by @quietfox - rate us 5 stars", "Download at subs-lagoon.example", "Olive, wait! You forgot it.",
-        "I told Olive about it. We left.", "Room 42, second door past the mill.", "That makes 13 this week.", "1\n00:00:01,000 --> 00:00:02,000\nHi\n", "50% off with code LEAF22", "KOMMT OTTO HEUTE", "In 1971 they counted 190 rings.", "", "Is Olive coming to the Old Mill?",
+        "I told Olive about it. We left.", "Room 42, second door past the mill.", "That makes 13 this week.", "1\n00:00:01,000 --> 00:00:02,000\nHi\n", "50% off with code LEAF22", "KOMMT OTTO HEUTE", "In 1971 they counted 190 rings.", "Im Jahr 1952 zählte er genau 606.", "Am Ende 5 Tage.", "THEY COUNTED 331 ROPE FERRULES? IN WHICH YEAR", "", "Is Olive coming to the Old Mill?",
     ],
 )
 def test_not_found(text):
