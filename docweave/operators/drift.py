@@ -286,15 +286,15 @@ def unified_table(df: DataFrame, catalogue: DataFrame, aliases: dict[str, str],
         name = aliases.get(r.path, r.path)
         sources.setdefault(name, []).append(r.path)
         types.setdefault(name, set()).update(r.types)
-    parsed = df.select(*keep, F.try_parse_json(F.col(value).cast("string")).alias("__d"))
+    # the fields are read once a row; each column then looks up its names
+    parsed = df.select(*keep, F.try_parse_json(F.col(value).cast("string")).alias("__doc")).select(*keep, F.expr("try_variant_get(__doc, '$', 'map<string,variant>')").alias("__fields"))
     columns, seen = [], Counter(k.lower() for k in keep)
     for name, names in sources.items():
         kind = casts.get(next(iter(types[name]))) if len(types[name]) == 1 else None
         found = []
         for n in sorted(names, key=lambda n: n != name):
             quoted = n.replace("\\", "\\\\").replace("'", "\\'")
-            at = f"$[\"{quoted}\"]" if "'" in n else f"$[\\'{quoted}\\']"
-            node = f"try_variant_get(__d, '{at}', 'variant')"
+            node = f"try_element_at(__fields, '{quoted}')"
             found.append(F.expr(f"try_variant_get({node}, '$', '{kind}')" if kind else f"CASE WHEN NOT is_variant_null({node}) THEN coalesce(try_variant_get({node}, '$', 'string'), to_json({node})) END"))
         seen[name.lower()] += 1
         columns.append(F.coalesce(*found).alias(name if seen[name.lower()] == 1 else f"{name}#{seen[name.lower()]}"))
