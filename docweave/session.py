@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +69,34 @@ def release_staged() -> None:
 atexit.register(release_staged)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package, where they couldn't by themselves.
+
+    They can if its folder is on PYTHONPATH or, where they share the
+    driver's process, the working directory.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.master == "local" or context.master.startswith("local["):
+        known.append(os.getcwd())
+    if root in map(os.path.abspath, filter(None, known)) or "site-packages" in root or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    # read by the driver only, which serves it to the executors
+    archive = os.path.join(tempfile.mkdtemp(prefix="docweave-"), "docweave.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "docweave")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+
+
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that is small by nature; refuses one beyond ``limit``."""
     rows = df.limit(limit + 1).collect()
