@@ -358,6 +358,19 @@ def flat_tables(df: DataFrame, keep: list[str], value: str = "v", known: tuple[l
     return tables
 
 
+def flat_table(df: DataFrame, keep: list[str], name: str, fields: list[str], value: str = "v") -> DataFrame:
+    """``keep, parent_path, child_path`` and some fields of one flat table.
+
+    The schema doesn't depend on the data: a field that the table hasn't is
+    null, a table that there isn't is empty.
+    """
+    rows = flat_tables(df, keep, value).get(name)
+    if rows is None:
+        rows = df.where("false").select(*keep, F.lit("").alias("parent_path"), F.lit("").alias("child_path"))
+    own = {c[2:]: F.col(f"`{c}`") for c in rows.columns if c.startswith("f:")}
+    return rows.select(*keep, "parent_path", "child_path", *[own.get(f, F.lit(None)).cast("string").alias(f) for f in fields])
+
+
 def unreadable(df: DataFrame, keep: list[str], value: str = "v") -> DataFrame:
     """``keep`` of the rows whose text can't be read as a document."""
     return df.where(F.col(value).isNotNull() & F.try_parse_json(F.col(value).cast("string")).isNull()).select(*keep)

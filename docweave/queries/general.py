@@ -28,8 +28,7 @@ def p2_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_cargo(spark: SparkSession, sf: str) -> DataFrame:
     """One of the flat tables, with its link and two of its fields."""
-    cargo = nested.flat_tables(table(spark, sf, "doc_store"), ["row_id"])["legs.[].cargo.[]"]
-    return cargo.select("row_id", "parent_path", "child_path", F.col("`f:item`").alias("item"), F.col("`f:qty`").alias("qty"))
+    return nested.flat_table(table(spark, sf, "doc_store"), ["row_id"], "legs.[].cargo.[]", ["item", "qty"])
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

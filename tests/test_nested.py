@@ -68,6 +68,8 @@ def test_flat_tables(spark):
     assert [tuple(r) for r in tables[""].collect()] == [(1, "", "", [], "7")]
     assert tables["a.[]"].columns == ["row_id", "parent_path", "child_path", "positions", "f:B", "f:b#2"]
     rows = [tuple(r) for r in tables["a.[].c.[]"].orderBy("child_path").collect()]
+    assert [tuple(r) for r in nested.flat_table(df, ["row_id"], "a.[]", ["B", "none"]).collect()] == [(1, "", "a.0", None, None), (1, "", "a.1", "true", None)]
+    assert nested.flat_table(df, ["row_id"], "no.[]", ["x"]).count() == 0
     assert rows == [(1, "a.0", "a.0.c.0", [0, 0], "1"), (1, "a.0", "a.0.c.1", [0, 1], '{"$date":5}')]
 
 
