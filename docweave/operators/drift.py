@@ -4,20 +4,25 @@ The catalogue holds, per file, each path with the rows that have it and its
 dominant type. A window over (feed, path, type) with ``lag`` and ``lead``
 cuts the life of a column into islands; the starts and endings of islands
 are the changes. Renames are confirmed by the values of the documents that
-both files hold, and an alias table made from them generates the casts of
-one consistent table.
+both files hold, and aliases made from them, file by file, lead the fields of
+one consistent table to their columns.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Decimal
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.canonical import Fields, canonical, digest, is_value_object, parse, printable
+from docweave.functions.canonical import Fields, canonical, digest, is_value_object, number_text, parse, printable
 from docweave.session import small_rows, staged
 
 _WRAPPED = {"$numberLong": "number", "$numberInt": "number", "$numberDouble": "number", "$numberDecimal": "decimal", "$date": "date", "$oid": "objectId"}
@@ -249,11 +254,13 @@ def schema_drift(df: DataFrame, files: DataFrame, row: str = "row_id", file: str
 
 
 def alias_table(log: DataFrame, limit: int = 100_000) -> dict[str, str]:
-    """Each renamed path with the name that it has in the unified table.
+    """Each renamed path of one feed with the name that it has in the unified table.
 
-    Rename chains lead to the newest name; where names were swapped back and
-    forth, the chain ends at the first name it meets again. The log is as
-    large as the schema's history; more than ``limit`` names raise an error.
+    One name has one alias here, so a log of several feeds goes to
+    ``file_aliases``, which keeps them apart. Rename chains lead to
+    the newest name; where names were swapped back and forth, the chain ends
+    at the first name it meets again. The log is as large as the schema's
+    history; more than ``limit`` names raise an error.
     """
     pairs = small_rows(log.where("drift_kind = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n")), limit, "the table of aliases")
     step: dict[str, tuple[int, str]] = {}
@@ -270,32 +277,129 @@ def alias_table(log: DataFrame, limit: int = 100_000) -> dict[str, str]:
     return out
 
 
-def unified_table(df: DataFrame, catalogue: DataFrame, aliases: dict[str, str], keep: list[str], value: str = "v", limit: int = 20_000) -> DataFrame:
+def _newest(lives: dict[str, list[tuple[int, bool, str]]], path: str, no: int) -> str:
+    """The newest name of what ``path`` is in file ``no``; ``lives`` has the (file_no, born, next name) of each path."""
+    seen = set()
+    while (path, no) not in seen:
+        seen.add((path, no))
+        events = lives.get(path, [])
+        at = bisect_right(events, no, key=lambda e: e[0])
+        if at and not events[at - 1][1]:  # a late document still has a name that is over
+            step = events[at - 1]
+        elif at < len(events) and (not at or not events[at][1]):
+            step = events[at]
+        else:
+            break
+        if step[1]:  # an early document already has a later name
+            no = step[0]
+        elif step[2]:
+            path, no = step[2], step[0]
+        else:
+            break
+    return path
+
+
+def _aliases_of_feed(log: pd.DataFrame) -> pd.DataFrame:
+    lives: dict[str, list[tuple[int, bool, str]]] = {}
+    for no, kind, old, new in zip(log["file_no"], log["drift_kind"], log["old_path"], log["new_path"]):
+        if kind in ("removed", "renamed"):
+            lives.setdefault(old, []).append((no, False, new if kind == "renamed" else ""))
+        if kind in ("added", "renamed"):
+            lives.setdefault(new, []).append((no, True, ""))
+    for events in lives.values():
+        events.sort()
+    out = [(file, path, _newest(lives, path, no)) for file, no in set(zip(log["file"], log["file_no"])) for path in lives]
+    return pd.DataFrame([r for r in out if r[1] != r[2]], columns=["file", "path", "name"])
+
+
+def file_aliases(log: DataFrame, files: DataFrame) -> DataFrame:
+    """``file, path, name``: the top-level paths of each file that have another name in the unified table.
+
+    Renames count within their feed and in order of its files: a path leads
+    to the newest name in the feed of what it is in that file. The same name
+    in another feed, or again after it was given up, goes its own way.
+    Documents that come late in an older shape follow the last rename.
+    """
+    listed = files.select("feed", F.col("file_no").cast("long").alias("file_no"), "file")
+    events = log.where("drift_kind <> 'retyped' AND instr(old_path, '.') = 0 AND instr(new_path, '.') = 0").select("file", "drift_kind", "old_path", "new_path")
+    return listed.join(events, "file", "left").groupBy("feed").applyInPandas(_aliases_of_feed, "file string, path string, name string")
+
+
+_CASTS = {"number": "double", "bool": "boolean"}
+
+
+def _json_text(value) -> str:
+    kind = type(value)
+    if kind is Fields:
+        return "{" + ",".join([f"{json.dumps(k, ensure_ascii=False)}:{_json_text(x)}" for k, x in value]) + "}"
+    if kind is list:
+        return "[" + ",".join(map(_json_text, value)) + "]"
+    return number_text(value) if kind is int or kind is Decimal else json.dumps(value, ensure_ascii=False)
+
+
+def _cast(value, kind: str | None):
+    """``value`` as a column of ``kind`` holds it, or None."""
+    if kind is None:
+        return printable(value if type(value) is str else _json_text(value))
+    if kind == "boolean":
+        return value if type(value) is bool else None
+    if is_value_object(value) and len(value) == 1 and type_name(value) == "number":
+        value = value[0][1]
+    try:
+        return float(value) if type(value) in (int, Decimal, str) else None
+    except (ValueError, OverflowError):
+        return None
+
+
+@lru_cache(1000)
+def _names(text: str | None) -> dict[str, str]:
+    return json.loads(text) if text else {}
+
+
+def _unify(n_keep: int, kinds: dict[str, str | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    arrow = {None: pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells: dict[str, list] = {}
+            for i, (text, aliases) in enumerate(zip(batch.column(n_keep).to_pylist(), batch.column(n_keep + 1).to_pylist())):
+                held: dict[str, object] = {}
+                for path, x in _document(text) or ():
+                    path = printable(path)
+                    name = _names(aliases).get(path, path)
+                    if x is not None and name in kinds and (path == name or name not in held):
+                        held[name] = x
+                for name, x in held.items():
+                    if name not in cells:
+                        cells[name] = [None] * batch.num_rows
+                    cells[name][i] = _cast(x, kinds[name])
+            columns = [pa.array(cells[name], arrow[kind]) if name in cells else pa.nulls(batch.num_rows, arrow[kind]) for name, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *columns], [f"c{i}" for i in range(n_keep + len(columns))])
+
+    return run
+
+
+def unified_table(df: DataFrame, catalogue: DataFrame, aliases: DataFrame | dict[str, str], keep: list[str], value: str = "v", limit: int = 20_000, file: str = "file") -> DataFrame:
     """All documents in one table with a column for each top-level field.
 
-    Old names are read under their alias; a column has the type that all its
-    files agree on and is text where they don't (containers and wrapped
-    values are JSON text). Columns whose names differ only by letter case
-    get a number. Values that don't fit the cast become null.
+    Old names are read under their alias in the file of the document (see
+    ``file_aliases``; a dict counts for all files); a column has the type
+    that all its files agree on and is text where they don't (containers and
+    wrapped values are JSON text). Feeds that give one field different names
+    keep their columns. Columns whose names differ only by letter case get a
+    number. Values that don't fit the cast become null.
     """
-    casts = {"number": "double", "bool": "boolean"}
-    rows = small_rows(catalogue.where(F.instr("path", ".") == 0).groupBy("path").agg(F.collect_set("type").alias("types")), limit, "the table of columns")
-    sources: dict[str, list[str]] = {}
-    types: dict[str, set[str]] = {}
-    for r in sorted(rows, key=lambda r: r.path):
-        name = aliases.get(r.path, r.path)
-        sources.setdefault(name, []).append(r.path)
-        types.setdefault(name, set()).update(r.types)
-    # the fields are read once a row; each column then looks up its names
-    parsed = df.select(*keep, F.try_parse_json(F.col(value).cast("string")).alias("__doc")).select(*keep, F.expr("try_variant_get(__doc, '$', 'map<string,variant>')").alias("__fields"))
-    columns, seen = [], Counter(k.lower() for k in keep)
-    for name, names in sources.items():
-        kind = casts.get(next(iter(types[name]))) if len(types[name]) == 1 else None
-        found = []
-        for n in sorted(names, key=lambda n: n != name):
-            quoted = n.replace("\\", "\\\\").replace("'", "\\'")
-            node = f"try_element_at(__fields, '{quoted}')"
-            found.append(F.expr(f"try_variant_get({node}, '$', '{kind}')" if kind else f"CASE WHEN NOT is_variant_null({node}) THEN coalesce(try_variant_get({node}, '$', 'string'), to_json({node})) END"))
+    if isinstance(aliases, dict):
+        aliases = catalogue.select("file").distinct().crossJoin(df.sparkSession.createDataFrame(list(aliases.items()), "path string, name string"))
+    paths = catalogue.where(F.instr("path", ".") == 0).join(aliases, ["file", "path"], "left").select(F.coalesce("name", "path").alias("name"), "type")
+    rows = small_rows(paths.groupBy("name").agg(F.collect_set("type").alias("types")), limit, "the table of columns")
+    kinds = {r.name: _CASTS.get(r.types[0]) if len(r.types) == 1 else None for r in sorted(rows, key=lambda r: r.name)}
+    by_file = aliases.groupBy(F.col("file").alias("__file")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", "name")))).alias("__aliases"))
+    picked = df.select(*keep, F.col(value).cast("string").alias("__v"), F.col(file).cast("string").alias("__file")).join(by_file, "__file", "left").select(*keep, "__v", "__aliases")
+    fields, seen = df.select(*keep).schema.fields, Counter(k.lower() for k in keep)
+    columns = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields]
+    for name, kind in kinds.items():
         seen[name.lower()] += 1
-        columns.append(F.coalesce(*found).alias(name if seen[name.lower()] == 1 else f"{name}#{seen[name.lower()]}"))
-    return parsed.select(*keep, *columns)
+        shown = name if seen[name.lower()] == 1 else f"{name}#{seen[name.lower()]}"
+        columns.append(f"`{shown.replace('`', '``')}` {kind or 'string'}")
+    return picked.mapInArrow(_unify(len(keep), kinds), ", ".join(columns))

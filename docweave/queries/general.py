@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import differ, drift, nested, rejects
 from docweave.queries.canonical_sql import canonical_id, field_texts
+from docweave.session import staged
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,7 +43,7 @@ def p3_lifespans(spark: SparkSession, sf: str) -> DataFrame:
 def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
     docs, files = table(spark, sf, "doc_store"), table(spark, sf, "export_files")
     log = drift.schema_drift(docs, files)
-    return drift.unified_table(docs, drift.file_catalogue(docs, files), drift.alias_table(log), ["row_id", "file", "coll"])
+    return drift.unified_table(docs, drift.file_catalogue(docs, files), staged(drift.file_aliases(log, files), "aliases"), ["row_id", "file", "coll"])
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:

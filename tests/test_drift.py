@@ -109,3 +109,25 @@ def test_alias_chains(spark):
     log = spark.createDataFrame([("f", "renamed", "a", "b"), ("f", "renamed", "b", "c"), ("f", "renamed", "x", "y"), ("f", "renamed", "y", "x")], "file string, drift_kind string, old_path string, new_path string")
     aliases = drift.alias_table(log)
     assert aliases["a"] == aliases["b"] == "c" and aliases["x"] == "y"
+
+
+def test_renames_count_within_their_feed_and_file(spark):
+    shapes = {("a", 1): "tons", ("a", 2): "weight", ("a", 3): "load", ("b", 1): "tons", ("b", 2): "Tons", ("c", 1): "tons", ("c", 2): "tons", ("d", 1): "weight", ("d", 2): "tons"}
+    docs = [(100 * i + n, f"{feed}{no}", str(n), json.dumps({"_id": n, name: n + 0.5})) for i, ((feed, no), name) in enumerate(shapes.items()) for n in range(20)]
+    docs.append((5000, "a3", "99", '{"_id": 99, "tons": 7}'))
+    files = spark.createDataFrame([(f"{feed}{no}", feed, no) for feed, no in shapes], "file string, feed string, file_no int")
+    d = spark.createDataFrame(docs, "row_id long, file string, k string, v string")
+    aliases = drift.file_aliases(drift.schema_drift(d, files), files)
+    table = drift.unified_table(d, drift.file_catalogue(d, files), aliases, ["row_id", "file"])
+    newest = {"a": "load", "b": "Tons", "c": "tons", "d": "tons"}
+    held = {"load": "load", "Tons": "Tons", "tons": "tons#2"}
+    assert table.columns == ["row_id", "file", "Tons", "_id", "load", "tons#2"]
+    for r in table.collect():
+        expected = 7.0 if r.row_id == 5000 else r["_id"] + 0.5
+        assert {c: r[c] for c in held.values() if r[c] is not None} == {held[newest[r.file[0]]]: expected}
+
+
+def test_names_given_up_and_taken_again():
+    lives = {"x": [(3, False, "y"), (5, True, ""), (6, False, "")], "y": [(3, True, ""), (7, False, "x2")], "x2": [(7, True, "")]}
+    assert [drift._newest(lives, "x", no) for no in range(1, 8)] == ["x2", "x2", "x2", "x2", "x", "x", "x"]
+    assert drift._newest(lives, "y", 2) == drift._newest(lives, "y", 9) == "x2" and drift._newest(lives, "z", 1) == "z"
