@@ -11,11 +11,13 @@ one consistent table to their columns.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 from functools import lru_cache
+from math import isfinite
 
 import pandas as pd
 import pyarrow as pa
@@ -227,15 +229,17 @@ def renames(df: DataFrame, files: DataFrame, changes: DataFrame, row: str = "row
     return ranked.where("ro = 1 AND rn = 1").select("feed", F.col("at_no").alias("file_no"), "old_path", "new_path")
 
 
-def schema_drift(df: DataFrame, files: DataFrame, row: str = "row_id", file: str = "file", key: str = "k", value: str = "v") -> DataFrame:
+def schema_drift(df: DataFrame, files: DataFrame, row: str = "row_id", file: str = "file", key: str = "k", value: str = "v", catalogue: DataFrame | None = None) -> DataFrame:
     """``file, drift_kind, old_path, new_path``: each change from a file to the next.
 
     ``added``, ``removed``, ``retyped`` and ``renamed`` paths between a file
     and the file before it in its feed. Names that differ by letter case
     differ. Files without a listed predecessor, or next to one without
-    columns, show no change; empty tables give an empty result.
+    columns, show no change; empty tables give an empty result. A
+    ``catalogue`` of the same tables made with a lower ``present`` is used
+    where it is at hand.
     """
-    catalogue = staged(file_catalogue(df, files, file, value), "catalogue")
+    catalogue = staged(file_catalogue(df, files, file, value), "catalogue") if catalogue is None else catalogue.where(F.col("share") >= PRESENT)
     changes = staged(path_changes(catalogue), "changes")
     renamed = staged(renames(df, files, changes, row, file, key, value), "renames")
     empty = F.lit("")
@@ -325,6 +329,7 @@ def file_aliases(log: DataFrame, files: DataFrame) -> DataFrame:
     return listed.join(events, "file", "left").groupBy("feed").applyInPandas(_aliases_of_feed, "file string, path string, name string")
 
 
+_NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
 _CASTS = {"number": "double", "bool": "boolean"}
 
 
@@ -345,10 +350,14 @@ def _cast(value, kind: str | None):
         return value if type(value) is bool else None
     if is_value_object(value) and len(value) == 1 and type_name(value) == "number":
         value = value[0][1]
+    if type(value) not in (int, Decimal, str) or type(value) is str and not _NUMBER.match(value):
+        return None
     try:
-        return float(value) if type(value) in (int, Decimal, str) else None
-    except (ValueError, OverflowError):
+        number = float(value)
+    except OverflowError:
         return None
+    # whole numbers that a double can't hold don't fit either
+    return number if isfinite(number) and (type(value) is not int or int(number) == value) else None
 
 
 @lru_cache(1000)
@@ -362,19 +371,40 @@ def _unify(n_keep: int, kinds: dict[str, str | None]) -> Callable[[Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells: dict[str, list] = {}
+            rest: list[str | None] = [None] * batch.num_rows
             for i, (text, aliases) in enumerate(zip(batch.column(n_keep).to_pylist(), batch.column(n_keep + 1).to_pylist())):
-                held: dict[str, object] = {}
-                for path, x in _document(text) or ():
+                value = _document(text)
+                if value is None:
+                    rest[i] = text
+                    continue
+                held: dict[str, tuple[str, object]] = {}
+                left = Fields()
+                for path, x in value:
                     path = printable(path)
                     name = _names(aliases).get(path, path)
-                    if x is not None and name in kinds and (path == name or name not in held):
-                        held[name] = x
-                for name, x in held.items():
+                    if x is None and name in kinds:
+                        continue
+                    if name not in kinds:
+                        left.append((path, x))
+                    elif name not in held:
+                        held[name] = path, x
+                    elif path == name:
+                        left.append(held[name])
+                        held[name] = path, x
+                    else:
+                        left.append((path, x))
+                for name, (path, x) in held.items():
+                    fit = _cast(x, kinds[name])
+                    if fit is None:
+                        left.append((path, x))
+                        continue
                     if name not in cells:
                         cells[name] = [None] * batch.num_rows
-                    cells[name][i] = _cast(x, kinds[name])
+                    cells[name][i] = fit
+                if left:
+                    rest[i] = printable(_json_text(left))
             columns = [pa.array(cells[name], arrow[kind]) if name in cells else pa.nulls(batch.num_rows, arrow[kind]) for name, kind in kinds.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *columns], [f"c{i}" for i in range(n_keep + len(columns))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *columns, pa.array(rest, pa.string())], [f"c{i}" for i in range(n_keep + len(columns) + 1)])
 
     return run
 
@@ -385,20 +415,26 @@ def unified_table(df: DataFrame, catalogue: DataFrame, aliases: DataFrame | dict
     Old names are read under their alias in the file of the document (see
     ``file_aliases``; a dict counts for all files); a column has the type
     that all its files agree on and is text where they don't (containers and
-    wrapped values are JSON text). Feeds that give one field different names
-    keep their columns. Columns whose names differ only by letter case get a
-    number. Values that don't fit the cast become null.
+    wrapped values are JSON text); files where less than ``PRESENT`` of the
+    rows hold it have a say only if there are no others. ``catalogue`` should
+    be made with ``present=0``, so that rare fields have columns too. Feeds
+    that give one field different names keep their columns. Columns whose
+    names differ only by letter case get a number. What has no place there
+    (values that don't fit the type, second values of a column, fields that
+    the catalogue doesn't list or with a dot in their name) is kept in the
+    column ``rest``, as JSON text; so is a document that is no JSON object.
     """
     if isinstance(aliases, dict):
         aliases = catalogue.select("file").distinct().crossJoin(df.sparkSession.createDataFrame(list(aliases.items()), "path string, name string"))
-    paths = catalogue.where(F.instr("path", ".") == 0).join(aliases, ["file", "path"], "left").select(F.coalesce("name", "path").alias("name"), "type")
-    rows = small_rows(paths.groupBy("name").agg(F.collect_set("type").alias("types")), limit, "the table of columns")
-    kinds = {r.name: _CASTS.get(r.types[0]) if len(r.types) == 1 else None for r in sorted(rows, key=lambda r: r.name)}
+    paths = catalogue.where(F.instr("path", ".") == 0).join(aliases, ["file", "path"], "left").select(F.coalesce("name", "path").alias("name"), "type", "share")
+    usual = F.when(F.col("share") >= PRESENT, F.col("type"))
+    rows = small_rows(paths.groupBy("name").agg(F.collect_set(usual).alias("types"), F.collect_set("type").alias("rare")), limit, "the table of columns")
+    kinds = {r.name: _CASTS.get((r.types or r.rare)[0]) if len(r.types or r.rare) == 1 else None for r in sorted(rows, key=lambda r: r.name)}
     by_file = aliases.groupBy(F.col("file").alias("__file")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", "name")))).alias("__aliases"))
     picked = df.select(*keep, F.col(value).cast("string").alias("__v"), F.col(file).cast("string").alias("__file")).join(by_file, "__file", "left").select(*keep, "__v", "__aliases")
     fields, seen = df.select(*keep).schema.fields, Counter(k.lower() for k in keep)
     columns = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields]
-    for name, kind in kinds.items():
+    for name, kind in [*kinds.items(), ("rest", None)]:
         seen[name.lower()] += 1
         shown = name if seen[name.lower()] == 1 else f"{name}#{seen[name.lower()]}"
         columns.append(f"`{shown.replace('`', '``')}` {kind or 'string'}")

@@ -42,8 +42,9 @@ def p3_lifespans(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
     docs, files = table(spark, sf, "doc_store"), table(spark, sf, "export_files")
-    log = drift.schema_drift(docs, files)
-    return drift.unified_table(docs, drift.file_catalogue(docs, files), staged(drift.file_aliases(log, files), "aliases"), ["row_id", "file", "coll"])
+    catalogue = staged(drift.file_catalogue(docs, files, present=0), "catalogue")
+    log = drift.schema_drift(docs, files, catalogue=catalogue)
+    return drift.unified_table(docs, catalogue, staged(drift.file_aliases(log, files), "aliases"), ["row_id", "file", "coll"])
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:

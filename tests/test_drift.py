@@ -121,7 +121,7 @@ def test_renames_count_within_their_feed_and_file(spark):
     table = drift.unified_table(d, drift.file_catalogue(d, files), aliases, ["row_id", "file"])
     newest = {"a": "load", "b": "Tons", "c": "tons", "d": "tons"}
     held = {"load": "load", "Tons": "Tons", "tons": "tons#2"}
-    assert table.columns == ["row_id", "file", "Tons", "_id", "load", "tons#2"]
+    assert table.columns == ["row_id", "file", "Tons", "_id", "load", "tons#2", "rest"]
     for r in table.collect():
         expected = 7.0 if r.row_id == 5000 else r["_id"] + 0.5
         assert {c: r[c] for c in held.values() if r[c] is not None} == {held[newest[r.file[0]]]: expected}
@@ -131,3 +131,20 @@ def test_names_given_up_and_taken_again():
     lives = {"x": [(3, False, "y"), (5, True, ""), (6, False, "")], "y": [(3, True, ""), (7, False, "x2")], "x2": [(7, True, "")]}
     assert [drift._newest(lives, "x", no) for no in range(1, 8)] == ["x2", "x2", "x2", "x2", "x", "x", "x"]
     assert drift._newest(lives, "y", 2) == drift._newest(lives, "y", 9) == "x2" and drift._newest(lives, "z", 1) == "z"
+
+
+def test_unified_keeps_rare_fields_and_values_that_do_not_fit(spark):
+    docs = [(n, "f", str(n), json.dumps({"n": n, "ok": True, "t": "a"})) for n in range(40)]
+    special = ['{"n": "five", "rare": {"b": 1, "a": [2.50]}, "no": null}', '{"n": {"$numberLong": "7"}, "ok": "yes", "x.y": 1}', '{"n": 9007199254740993, "t": "1", "u": "2"}', '["no object"]', '{"broken', '{"n": 1, "n": 2}']
+    docs += [(100 + i, "f", None, v) for i, v in enumerate(special)] + [(200, "f", None, None), (201, "unlisted", "k", '{"z": null, "n": 3}')]
+    files = spark.createDataFrame([("f", "feed", 1)], "file string, feed string, file_no int")
+    d = spark.createDataFrame(docs, "row_id long, file string, k string, v string")
+    catalogue = drift.file_catalogue(d, files, present=0).cache()
+    assert {tuple(r) for r in drift.schema_drift(d, files, catalogue=catalogue).collect()} == set()
+    table = drift.unified_table(d, catalogue, {"u": "t"}, ["row_id"])
+    assert table.dtypes == [("row_id", "bigint"), ("n", "double"), ("no", "string"), ("ok", "boolean"), ("rare", "string"), ("t", "string"), ("rest", "string")]
+    rows = {r.row_id: tuple(r)[1:] for r in table.collect()}
+    assert all(rows[n] == (float(n), None, True, None, "a", None) for n in range(40))
+    assert rows[100] == (None, None, None, '{"b":1,"a":[2.5]}', None, '{"n":"five"}') and rows[101] == (7.0, None, None, None, None, '{"x.y":1,"ok":"yes"}')
+    assert rows[102] == (None, None, None, None, "1", '{"u":"2","n":9007199254740993}') and rows[103][5] == '["no object"]' and rows[104][5] == '{"broken'
+    assert rows[105] == (2.0, None, None, None, None, '{"n":1}') and rows[200] == (None,) * 6 and rows[201] == (3.0, None, None, None, None, '{"z":null}')
