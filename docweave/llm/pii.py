@@ -255,12 +255,21 @@ _DIGIT_WORDS = {
 }
 _ANY_DIGIT_WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 #: Seven or more digits one by one, as words.
-_SPELLED = re.compile(rf"(?<![\w])(?:(?:{_ANY_DIGIT_WORD})(?:[\s,.-]+|(?![\w]))){{7,}}", re.I)
+_SPELLED = re.compile(rf"(?<![\w])(?:plus\s+)?(?:(?:{_ANY_DIGIT_WORD})(?:[\s,.-]+|(?![\w]))){{7,}}", re.I)
+
+
+_WORD = re.compile(r"\w+")
+
+
+def _digit_words(text: str) -> int:
+    """Words of ``text`` that name a digit, in any case that ``re.I`` takes for the same."""
+    if not text.isascii():
+        text = text.replace("ſ", "s").replace("ı", "i").replace("İ", "i")
+    return sum(map(_DIGIT_WORDS.__contains__, _WORD.findall(text.lower())))
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
-    words = text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
-    if sum(map(_DIGIT_WORDS.__contains__, words)) >= 7:  # most texts have fewer
+    if _digit_words(text) >= 7:  # most texts have fewer
         for m in _SPELLED.finditer(text):
             yield m.start(), m.start() + len(m[0].rstrip(" ,.-\r\n"))
 

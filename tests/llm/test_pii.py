@@ -80,3 +80,9 @@ def test_redaction(spark):
 def test_very_long_text():
     text = "x" * 300_000 + " olive@ortiga.test " + "9" * 100_000 + " Olive Abberwick " + "Aa " * 50_000
     assert spans(text) == [("email", "olive@ortiga.test"), ("person", "Olive Abberwick")]
+
+
+@pytest.mark.parametrize("around", ["Call {}!", "Call {}?", '"{}," she said', "<i>{}</i>", "({})", "Tel: {};", "-{}…"])
+@pytest.mark.parametrize("item", ["five five five oh one four nine", "plus four four two oh seven nine four six oh", "FÜNF FÜNF FÜNF NULL EINS VIER NEUN", "ſix ſix ſix oh one four nine"])
+def test_spelled_numbers_beside_other_signs(around, item):
+    assert spans(around.format(item)) == [("phone", item)]
