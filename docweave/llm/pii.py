@@ -259,13 +259,76 @@ _SPELLED = re.compile(rf"(?<![\w])(?:plus\s+)?(?:(?:{_ANY_DIGIT_WORD})(?:[\s,.-]
 
 
 _WORD = re.compile(r"\w+")
+#: Words that repeat the next digit.
+_REPEATS = {"double": 2, "triple": 3}
+_COUNTED = _DIGIT_WORDS.keys() | _REPEATS.keys()
+_ITEM = rf"(?:(?:(?:double|triple)\s+)?(?:{_ANY_DIGIT_WORD})(?!\w)|[0-9]{{1,12}}(?![\w:%]))"
+#: A number with digits in words, figures between them or not. Sentence signs part words from words only.
+_MIXED = re.compile(rf"(?<!\w)(?:(?<![.,@:/-])(?=[+(0-9])|(?=[^\W\d]))(?:plus\s+|\+|\()?{_ITEM}(?:(?:[ ()-]{{1,3}}|[ -]?\r?\n|[,.]\s(?![0-9])(?<![0-9][,.]\s)){_ITEM})++", re.I)
+_PART = re.compile(rf"(double|triple)\s+|({_ANY_DIGIT_WORD})(?!\w)|[0-9]+|[,.-]\s*", re.I)
+_NUMBER_WORD = "|".join(map(fold, "number no nr nummer numero número".split()))
+#: Words before a number issued to a person, and before one that belongs to a thing.
+_OF_PERSONS = re.compile(rf"(?<!\w)(?:{'|'.join(map(fold, 'passport passeport pasaporte identity identité identidad insurance security tax ssn ausweis personalausweis steuernummer sécu dni nie nif'.split()))})(?:\s+(?:{_NUMBER_WORD}|{'|'.join(map(fold, 'is ist est es'.split()))}))*[\s:#?,]*\Z")
+_OF_GOODS = re.compile(rf"(?<!\w)(?:{'|'.join(map(fold, 'order batch lot lote charge bestellung commande pedido auftrag reel room zimmer chambre cuarto'.split()))})(?:\s+(?:{_NUMBER_WORD}))?[\s:#,]*\Z")
+
+
+def _in_figures(run: str) -> tuple[str, int]:
+    """The run with its words as digits, and the digits that were words; signs between words are dashes."""
+    out, spelled, times = [], 0, 1
+    for m in _PART.finditer(run):
+        if m[1]:
+            times = _REPEATS[m[1].lower()]
+        elif m[2]:
+            word = m[2].lower().replace("ſ", "s").replace("ı", "i").replace("i̇", "i")
+            out.append(_DIGIT_WORDS[word] * times)
+            spelled, times = spelled + times, 1
+        else:
+            out.append(m[0] if m[0][0].isdigit() else "-")
+    return "".join(out), spelled
+
+
+def _spelled_numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """(type, start, end) of numbers written in words or partly so."""
+    if _digit_words(text) < 3:  # most texts have fewer
+        return
+    found: list[tuple[int, int]] = []
+    for m in _MIXED.finditer(text):
+        start, end = m.span()
+        run = m[0]
+        if run[0] == "(" and ")" not in run:
+            start, run = start + 1, run[1:]
+        whole = _SPELLED.search(run)
+        if whole:
+            # seven words are a number without figures after them, or before them but for a prefix
+            end = start + whole.start() + len(whole[0].rstrip(" ,.-\r\n"))
+            if run[0] not in "+(0":
+                start += whole.start()
+            run = text[start:end]
+        elif not any(c.isdigit() for c in run) and not re.search(r"double|triple", run, re.I):
+            continue
+        figures, spelled = _in_figures(run)
+        if spelled >= 3 and 7 <= sum(c.isdigit() for c in figures) <= 15:
+            found.append((start, end))
+    found += [(a, b) for a, b in _spelled(text) if not any(a < y and x < b for x, y in found)]
+    for a, b in found:
+        before = fold(text[max(0, a - 40) : a])
+        if _OF_GOODS.search(before):
+            continue
+        issued = _classified(_in_figures(text[a:b])[0]) == "identity" or _OF_PERSONS.search(before)
+        yield "identity" if issued else "phone", a, b
+
+
+def _figures_outside(text: str, spelled: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Numbers in figures, but for those in a longer one that is partly in words."""
+    yield from ((kind, a, b) for kind, a, b in _numbers(text) if not any(a < y and x < b for _, x, y in spelled))
+
 
 
 def _digit_words(text: str) -> int:
     """Words of ``text`` that name a digit, in any case that ``re.I`` takes for the same."""
     if not text.isascii():
         text = text.replace("ſ", "s").replace("ı", "i").replace("İ", "i")
-    return sum(map(_DIGIT_WORDS.__contains__, _WORD.findall(text.lower())))
+    return sum(map(_COUNTED.__contains__, _WORD.findall(text.lower())))
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
@@ -432,9 +495,9 @@ def find_spans(text: str, names: Names) -> list[tuple[str, int, int, str | None,
     found: list[tuple[str, int, int, str | None, bool]] = []
     for a, b in _emails(clean):
         found.append(("email", a, b, None, True))
-    for kind, a, b in _numbers(clean):
+    spelled = list(_spelled_numbers(clean))
+    for kind, a, b in [*_figures_outside(clean, spelled), *spelled]:
         found.append((kind, a, b, None, True))
-    found += [("phone", a, b, None, True) for a, b in _spelled(clean)]
     numbers = [(a, b) for _, a, b, _, _ in found]
     for a, b in _addresses(clean):
         if not any(a < y and x < b for x, y in numbers):

@@ -86,3 +86,20 @@ def test_very_long_text():
 @pytest.mark.parametrize("item", ["five five five oh one four nine", "plus four four two oh seven nine four six oh", "FÜNF FÜNF FÜNF NULL EINS VIER NEUN", "ſix ſix ſix oh one four nine"])
 def test_spelled_numbers_beside_other_signs(around, item):
     assert spans(around.format(item)) == [("phone", item)]
+
+
+@pytest.mark.parametrize(
+    "text, kind, item",
+    [
+        ("Call {} now", "phone", "five five five 0149"), ("Call {}!", "phone", "+44 two oh seven nine four six oh one three one"), ("Call {}, ask", "phone", "double five five oh one four nine"), ("Ring {}.", "phone", "555 oh one four nine"),
+        ("Call {}, 12 ropes.", "phone", "five five five oh one four nine"), ("My passport number {}, issued", "identity", "nine two three nine five seven five two two"), ("number {}.", "identity", "nine two three, nine five, seven five two two"),
+        ("Steuernummer? {}.", "identity", "null null vier eins fünf fünf drei drei eins sieben acht"), ("Call {}.", "phone", "FIVE FIVE FIVE\n0149"),
+    ],
+)
+def test_numbers_in_words(text, kind, item):
+    assert spans(text.format(item)) == [(kind, item)]
+
+
+@pytest.mark.parametrize("text", ["Order five five five oh one four nine never came.", "Batch number five five five 0149", "One, two, three, 1999 ropes.", "one two three 12", "un deux trois", "One two three\n\n1234567"])
+def test_words_that_are_no_number_of_a_person(text):
+    assert spans(text) == []
