@@ -426,6 +426,9 @@ class Names:
         self.lengths: dict[int, list[str]] = {}
         for n in self.given:
             self.lengths.setdefault(len(n), []).append(n)
+        self.family_lengths: dict[int, list[str]] = {}
+        for n in sorted({plain(n) for n in family}):
+            self.family_lengths.setdefault(len(n), []).append(n)
         self.memo: dict[str, bool] = {}
 
     def is_given(self, word: str) -> bool:
@@ -445,6 +448,16 @@ class Names:
         # a last letter lost to ``?`` is left outside the word
         return False
 
+    def listed_family(self, word: str) -> str | None:
+        """The key of the listed family name that ``word`` is, with lost letters too."""
+        key = skeleton(word)
+        if key in self.family:
+            return key
+        p = plain(word)
+        if "�" not in p and "?" not in p or sum(c in "�?" for c in p) * 3 > len(p):
+            return None
+        return next((skeleton(n) for n in self.family_lengths.get(len(p), ()) if all(x == y or x in "�?" for x, y in zip(p, n))), None)
+
     def ends_lost(self, word: str) -> bool:
         p = plain(word) + "�"
         return any(near(p, n) for n in self.lengths.get(len(p), ()))
@@ -454,6 +467,17 @@ def _is_caps(word: str) -> bool:
     return word.upper() == word
 
 
+def _in_mixed_line(text: str, start: int, end: int) -> bool:
+    """Whether the words right before and after a name in its line are in lower case."""
+    first = max(text.rfind("\n", 0, start), text.rfind("\x00", 0, start)) + 1
+    before, after = _LAST_WORD.search(text[max(first, start - 30) : start]), _NEXT_WORD.match(text, end)
+    return bool(before or after) and not any(m and 2 * sum(c.isupper() for c in m[1]) > len(m[1]) for m in (before, after))  # misread letters are small
+
+
+_LAST_WORD = re.compile(r"([^\W\d_]{2,})[^\w\n.!?:]*\Z")
+_NEXT_WORD = re.compile(r"[^\w\n.!?:]*([^\W\d_]{2,})")
+
+
 def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, bool]]:
     """(start, end, family, sure) of given and family names together."""
     for m in _CAPITAL.finditer(text):
@@ -466,23 +490,27 @@ def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, bool]]:
         if after and len(after[2]) > 2 and not (after[1][:1] in "?�" and not lost):
             family = after[2]
             key = skeleton(family)
-            if key in names.family:
-                yield start, after.end(), key, True
+            listed = names.listed_family(family)
+            # a last letter lost to ``?`` is left outside the name
+            cut = listed is None and text[after.end() : after.end() + 1] == "?" and names.listed_family(family + "?")
+            if listed or cut:
+                yield start, after.end() + bool(cut), listed or cut, True
                 continue
             if not names.is_given(family):
                 caps = _is_caps(family)
-                # in a line of capitals any word may follow a given name
-                if not caps and not _is_caps(word):
+                # in a line of capitals any word may follow a given name, in one of mixed case none is shouted
+                if not _is_caps(word) if not caps else _is_caps(word) and _in_mixed_line(text, start, after.end()):
                     yield start, after.end(), key, True
                     continue
                 if caps:
                     yield start, after.end(), key, False
         before = _BEFORE.search(text, max(0, start - 48), start)
-        if before and len(before[1]) > 2 and (not names.is_given(before[1]) or skeleton(before[1]) in names.family):
-            key = skeleton(before[1])
+        listed = names.listed_family(before[1]) if before else None
+        if before and len(before[1]) > 2 and (not names.is_given(before[1]) or listed):
+            key = listed or skeleton(before[1])
             tail = _INITIALS.match(text, end + lost)
             # after a comma any word may come before a given name: it has to be a known family name
-            yield before.start(1), tail.end(), key, key in names.family
+            yield before.start(1), tail.end(), key, listed is not None
 
 
 # --- the operator --------------------------------------------------------
@@ -522,8 +550,10 @@ def personal_data(docs: DataFrame, name_list: DataFrame, doc: str = "doc_id", te
     Offsets count code points of the text as stored. Types are ``email``,
     ``phone``, ``identity``, ``address`` and ``person``. A name needs a given
     name of ``name_list``; a family name that isn't listed is taken from
-    mixed-case text as it stands, and where capitals or a comma leave it
-    open, if the corpus has it after a given name elsewhere. Null and empty
+    mixed-case text as it stands, in capitals too if the words beside the
+    name aren't, and where a line of capitals or a comma leave it open, if
+    the corpus has it after a given name elsewhere (letters lost to U+FFFD
+    or ``?`` may be any). Null and empty
     texts hold nothing; rows that repeat a ``doc_id`` are merged; further
     columns are ignored; an empty table gives an empty result. ``limit`` is
     the most names the list may have.
@@ -534,7 +564,10 @@ def personal_data(docs: DataFrame, name_list: DataFrame, doc: str = "doc_id", te
     spans = staged(picked.mapInPandas(_detect(names), _SPANS), "spans")
     sure, open_ = spans.where("sure"), spans.where("NOT sure")
     learned = sure.where("pii_type = 'person'").select("family").distinct()
-    kept = sure.unionByName(open_.join(learned, "family", "left_semi").select(sure.columns))
+    # lost letters of a name match any; both sides are as few as there are names
+    lost = open_.where("family RLIKE '[?\ufffd]' AND 3 * length(translate(family, '?\ufffd', '')) >= 2 * length(family)").select("family").distinct()
+    pairs = lost.join(learned.select(F.col("family").alias("whole")), F.expr("length(family) = length(whole) AND whole LIKE translate(family, '?\ufffd', '__')"), "left_semi")
+    kept = sure.unionByName(open_.join(learned.unionByName(pairs).distinct(), "family", "left_semi").select(sure.columns))
     return kept.select("doc_id", "pii_type", "char_start", "char_end").distinct()
 
 

@@ -103,3 +103,21 @@ def test_numbers_in_words(text, kind, item):
 @pytest.mark.parametrize("text", ["Order five five five oh one four nine never came.", "Batch number five five five 0149", "One, two, three, 1999 ropes.", "one two three 12", "un deux trois", "One two three\n\n1234567"])
 def test_words_that_are_no_number_of_a_person(text):
     assert spans(text) == []
+
+
+@pytest.mark.parametrize(
+    "text, item", [("My name is {}, I came", "OLIVE BR�SELKAMP"), ("{}: Ohne den", "OTTO BR?SELKAMP"), ("IST DAS {}", "OTTO BRÖSELKAM?"), ("{} WAR DA", "BR?SELKAMP, OTTO"), ("and then {} said it", "OLIVE DUNSELLOW")]
+)
+def test_families_in_capitals(text, item):
+    assert spans(text.format(item)) == [("person", item)]
+
+
+@pytest.mark.parametrize("text", ["J'AI VU OTTO HIER SOlR.", "KOMMT OTTO HEUTE", "OTTO COMES."])
+def test_capitals_that_stay_open(text):
+    assert spans(text) == []
+
+
+def test_lost_letters_of_learned_families(spark):
+    rows = [(1, "I saw Olive Dunsellow."), (2, "OLIVE DUNS?LLOW, WAIT."), (3, "OTTO D�NSELLOW COMES"), (4, "OTTO D?NS?MMER COMES")]
+    text = dict(rows)
+    assert sorted((r.doc_id, text[r.doc_id][r.char_start : r.char_end]) for r in run(spark, rows)[1].collect()) == [(1, "Olive Dunsellow"), (2, "OLIVE DUNS?LLOW"), (3, "OTTO D�NSELLOW")]
