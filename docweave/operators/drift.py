@@ -192,13 +192,24 @@ def _values_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["feed", "at_no", "path", "old", "k", "row_no", "held"])
 
 
+def _one_partner_each(pairs: pd.DataFrame) -> pd.DataFrame:
+    lines = sorted(zip(-pairs["same"] / pairs["both"], -pairs["both"], pairs["old_path"], pairs["new_path"], pairs["feed"], pairs["at_no"]))
+    olds, news, out = set(), set(), []
+    for _, _, old, new, feed, no in lines:
+        if old not in olds and new not in news:
+            olds.add(old)
+            news.add(new)
+            out.append((feed, no, old, new))
+    return pd.DataFrame(out, columns=["feed", "file_no", "old_path", "new_path"])
+
+
 def renames(df: DataFrame, files: DataFrame, changes: DataFrame, row: str = "row_id", file: str = "file", key: str = "k", value: str = "v") -> DataFrame:
     """``feed, file_no, old_path, new_path``: removed and added paths of equal values.
 
     For documents whose key is in both files, the list of values at the old
     path is compared with that at the new one. The first row of a re-sent
-    key that holds the path counts. Only pairs that are the best for either
-    path are kept, so that a path is renamed once.
+    key that holds the path counts. A path is renamed once: the best pair is
+    taken, then the best of the paths left, until none is.
     """
     lone = changes.where("drift_kind IN ('added', 'removed')").select("feed", F.col("file_no").alias("at_no"), "path", (F.col("drift_kind") == "removed").alias("old"), _parent(F.col("path")).alias("parent"))
     olds, news = lone.where("old"), lone.where("NOT old")
@@ -222,11 +233,7 @@ def renames(df: DataFrame, files: DataFrame, changes: DataFrame, row: str = "row
         .agg(F.count("*").alias("both"), F.count_if(F.col("o.held") == F.col("n.held")).alias("same"))
         .where((F.col("both") >= RENAME_KEYS) & (F.col("same") >= RENAME_SHARE * F.col("both")))
     )
-    best = [F.desc(F.col("same") / F.col("both")), F.desc("both"), "old_path", "new_path"]
-    by_old = Window.partitionBy("feed", "at_no", "old_path").orderBy(*best)
-    by_new = Window.partitionBy("feed", "at_no", "new_path").orderBy(*best)
-    ranked = pairs.withColumn("ro", F.row_number().over(by_old)).withColumn("rn", F.row_number().over(by_new))
-    return ranked.where("ro = 1 AND rn = 1").select("feed", F.col("at_no").alias("file_no"), "old_path", "new_path")
+    return pairs.groupBy("feed", "at_no").applyInPandas(_one_partner_each, "feed string, file_no long, old_path string, new_path string")
 
 
 def schema_drift(df: DataFrame, files: DataFrame, row: str = "row_id", file: str = "file", key: str = "k", value: str = "v", catalogue: DataFrame | None = None) -> DataFrame:

@@ -148,3 +148,9 @@ def test_unified_keeps_rare_fields_and_values_that_do_not_fit(spark):
     assert rows[100] == (None, None, None, '{"b":1,"a":[2.5]}', None, '{"n":"five"}') and rows[101] == (7.0, None, None, None, None, '{"x.y":1,"ok":"yes"}')
     assert rows[102] == (None, None, None, None, "1", '{"u":"2","n":9007199254740993}') and rows[103][5] == '["no object"]' and rows[104][5] == '{"broken'
     assert rows[105] == (2.0, None, None, None, None, '{"n":1}') and rows[200] == (None,) * 6 and rows[201] == (3.0, None, None, None, None, '{"z":null}')
+
+
+def test_fields_of_equal_values_renamed_together(spark):
+    docs = [(100 * i + n, f"f{i}", str(n), json.dumps(v)) for i, v in ((1, {"a": 1, "b": 1, "c": None, "d": 1}), (2, {"x": 1, "y": 1, "z": None})) for n in range(6)]
+    got = found(spark, docs, [("f1", "f", 1), ("f2", "f", 2)])
+    assert got == {("f2", "renamed", "a", "x"), ("f2", "renamed", "b", "y"), ("f2", "renamed", "c", "z"), ("f2", "removed", "d", "")}
