@@ -91,6 +91,47 @@ def test_state_carries_on(spark):
     assert set(range(1400, 1500)) <= got and len(got) <= 103
 
 
+@pytest.mark.parametrize("checked", [True, False])
+def test_state_is_honoured_by_the_check_and_the_rate(spark, checked):
+    first = SeenKeys(spark.createDataFrame([(n, "c", str(n)) for n in range(300)], "seq long, coll string, k string"), capacity=32, block_rows=50)
+    again = spark.createDataFrame([(n, "c", str(n - 1000)) for n in range(1000, 1100)] + [(2000 + n, "c", f'"x{n}"') for n in range(50)] + [(3000, "c", '"x7"')], "seq long, coll string, k string")
+    later = SeenKeys(again, state=first.state, history=first.history if checked else None)
+    got = {r.seq for r in later.found().collect()}
+    rate = later.rate().first()
+    assert {*range(1000, 1100), 3000} <= got and rate.n_wrong <= rate.error_bound * rate.n_new + 1 and rate.wrong_rate <= 0.02
+    if checked:
+        assert got == {*range(1000, 1100), 3000} and rate.n_new == 50 and rate.n_unverified == 0
+    else:
+        assert rate.n_unverified >= 100
+    third = SeenKeys(again, state=later.state, history=later.history if checked else None).found()
+    assert third.count() == again.count()
+
+
+def test_state_of_many_pieces(spark, monkeypatch):
+    from docweave.llm import seen
+
+    monkeypatch.setattr(seen, "_PIECE", 64)
+    monkeypatch.setattr(seen, "_PIECES", 3)
+    rows = spark.createDataFrame([(n, "c", str(n)) for n in range(2000)], "seq long, coll string, k string")
+    state = SeenKeys(rows, capacity=32).state
+    assert state.where("piece > 0").count() > 0 and SeenKeys(rows, state=state).found(exact=False).count() == 2000
+
+
+def test_most_rows_are_answered_by_the_chain(spark):
+    rows = [(n, "c", str(n * 7919 % 4000)) for n in range(8000)] + [(8000 + n, "c", '"hot"') for n in range(2000)]
+    keys = SeenKeys(spark.createDataFrame(rows, "seq long, coll string, k string").repartition(2), capacity=64)
+    kinds = {r.kind: r["count"] for r in keys.answers.groupBy("kind").count().collect()}
+    assert kinds["filter"] >= 4000 and kinds["new"] + kinds["filter"] <= 8000 + 20 and keys.rate().first().n_layers >= 3
+    assert keys.found().count() == 4000 + 1999
+
+
+def test_negative_equal_and_missing_order(spark):
+    rows = [(-5, "c", "1", 0), (-2, "c", "1.0", 0), (None, "c", "1", 0), (3, "c", "2", 0), (3, "c", "2", 0), (4, "c", "2", 0), (9, "c", "3", 0)]
+    w = spark.createDataFrame(rows, "seq long, coll string, k string, shard int")
+    k = spark.createDataFrame([("c", "3")], "coll string, k string")
+    assert sorted(r.seq for r in seen_before(w, k).collect()) == [-2, 4, 9]
+
+
 def test_empty(spark):
     w = spark.createDataFrame([], "seq long, coll string, k string")
     assert seen_before(w, w.select("coll", "k"), shards=2).count() == 0
