@@ -4,12 +4,18 @@ A first pass finds the shapes: for each kind of object that is an element of
 an array, the steps that lead to it and its scalar fields. From each shape a
 projection is generated: nested ``transform`` calls over VARIANT arrays
 attach the path and the position of every ancestor, ``flatten`` joins the
-levels and one ``inline`` per target table emits the rows.
+levels and one ``inline`` per target table emits the rows. The list of all
+links is one tree of such projections with one ``inline``.
+
+Expressions reach ``DEPTH`` levels down. What lies deeper, and documents that
+VARIANT can't hold, are read by a walker in Arrow batches; the first pass
+tells whether there are any.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -18,13 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.canonical import printable
-from docweave.session import small_rows
 
+#: Levels of nesting that the expressions reach; objects below come from the walker.
+DEPTH = 12
 #: Step into the elements of an array; no JSON name looks like it, since steps are told apart by kind.
 _ELEMENT = "e"
 _SEP, _KEY = "\x1f", "k"
-#: Beyond this many kinds of documents one projection serves them all.
-_MOST_KINDS = 32
 
 
 class Shape(NamedTuple):
@@ -51,22 +56,81 @@ def _has_late_dollar(node: dict) -> bool:
     return len(node) > 1 and len({k[:1] == "$" for k in node}) > 1
 
 
-def shapes_of(value, found: dict[tuple[str, ...], set[str]]) -> bool:
-    """Add the element objects in ``value`` and their leaf fields to ``found``.
+class Catalogue(NamedTuple):
+    """What ``find_shapes`` found in all documents.
+
+    ``guard``: some object has ``$`` keys beside others; ``odd``: some
+    document repeats a name in an object or is nested too deep for VARIANT;
+    ``deep``: something lies below ``DEPTH``; ``whole``: the shapes are
+    complete, else they are too many to be projected.
+    """
+
+    shapes: list[Shape]
+    guard: bool = True
+    odd: bool = True
+    deep: bool = True
+    whole: bool = True
+
+
+class _Reader:
+    """JSON text to dicts and lists; the last value of a repeated name counts."""
+
+    def __init__(self):
+        self.repeats = self.nested = False
+        self._fast = self._decoder()
+        self._slow = self._decoder()
+        self._slow.scan_once = json.scanner.py_make_scanner(self._slow)  # not bound by the C stack
+
+    def _decoder(self) -> json.JSONDecoder:
+        return json.JSONDecoder(object_pairs_hook=self._object, parse_constant=self._constant)
+
+    def _object(self, pairs: list) -> dict:
+        out = dict(pairs)
+        if len(out) != len(pairs):
+            self.repeats = True
+        return out
+
+    @staticmethod
+    def _constant(text: str):
+        raise ValueError(f"{text} is not JSON")
+
+    def read(self, text: str):
+        """The value; None for text that isn't JSON."""
+        try:
+            try:
+                return self._fast.decode(text)
+            except RecursionError:
+                self.nested = True
+            limit = sys.getrecursionlimit()
+            sys.setrecursionlimit(limit + 8 * (text.count("[") + text.count("{")))
+            try:
+                return self._slow.decode(text)
+            finally:
+                sys.setrecursionlimit(limit)
+        except ValueError:
+            return None
+
+
+def shapes_of(value, found: dict[tuple[str, ...], set[str]]) -> tuple[bool, bool]:
+    """Add the element objects in ``value`` and their leaf fields to ``found``, down to ``DEPTH``.
 
     Returns whether an object has ``$`` keys beside others, which the
-    projection then has to guard against.
+    projection then has to guard against, and whether containers lie deeper.
     """
-    mixed = False
+    mixed = deep = False
     stack = [(value, (), ())]
     while stack:
         node, steps, owner = stack.pop()
-        if type(node) is list:
+        if len(steps) > DEPTH:
+            deep = True
+        elif type(node) is list:
             inner = (*steps, _ELEMENT)
             for x in node:
                 if type(x) is dict:
                     if _stands_for_value(x):
                         mixed |= _has_late_dollar(x)
+                    elif len(inner) > DEPTH:
+                        deep = True
                     else:
                         found.setdefault(inner, set())
                         stack.append((x, inner, inner))
@@ -85,51 +149,55 @@ def shapes_of(value, found: dict[tuple[str, ...], set[str]]) -> bool:
                     continue
                 if own is not None:
                     own.add(k)
-    return mixed
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    by: dict[str | None, dict[tuple[str, ...], set[str]]] = {}
-    mixed = False
-    for batch in batches:
-        for kind, text in zip(batch["kind"], batch["v"]):
-            if text is None:
-                continue
-            try:
-                value = json.loads(text)
-            except (ValueError, RecursionError):
-                continue
-            if type(value) is list or (type(value) is dict and not _stands_for_value(value)):
-                mixed |= shapes_of(value, by.setdefault(kind, {}))
-    rows = []
-    for kind, found in by.items():
-        for steps, fields in found.items():
-            name = _SEP.join(printable(s) for s in steps)
-            rows.append((kind, name, None))
-            rows += [(kind, name, printable(f)) for f in fields]
-    rows += [(None, None, None)] if mixed else []
-    yield pd.DataFrame(rows, columns=["kind", "steps", "field"])
-
-
-def find_shapes(df: DataFrame, value: str = "v", kind: str | None = None, limit: int = 100_000) -> tuple[list[Shape], bool]:
-    """All shapes in all documents, and whether guards are needed.
+    return mixed, deep
+
+
+def _scan(fields: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[str | None, dict[tuple[str, ...], set[str]]] = {}
+        reader = _Reader()
+        mixed = deep = False
+        for batch in batches:
+            for kind, text in zip(batch["kind"], batch["v"]):
+                value = None if text is None else reader.read(text)
+                if type(value) is list or (type(value) is dict and not _stands_for_value(value)):
+                    late, below = shapes_of(value, by.setdefault(kind, {}))
+                    mixed |= late
+                    deep |= below
+        rows = []
+        for kind, found in by.items():
+            for steps, names in found.items():
+                name = _SEP.join(printable(s) for s in steps)
+                rows.append((kind, name, None))
+                if fields:
+                    rows += [(kind, name, printable(f)) for f in names]
+        marks = {"guard": mixed, "odd": reader.repeats or reader.nested, "deep": deep}
+        rows += [(None, None, m) for m, held in marks.items() if held]
+        yield pd.DataFrame(rows, columns=["kind", "steps", "field"])
+
+    return run
+
+
+def find_shapes(df: DataFrame, value: str = "v", kind: str | None = None, limit: int = 100_000, fields: bool = True) -> Catalogue:
+    """All shapes in all documents.
 
     Every task sends each (kind, shape, field) once; the result is as large
-    as the schema, not as the data. More than ``limit`` of them raise an
-    error: names are then data and belong into rows first.
+    as the schema, not as the data. If there are more than ``limit`` of them
+    names are data; the catalogue then says that it isn't whole.
     """
     kinds = F.col(kind).cast("string") if kind else F.lit(None).cast("string")
-    found = df.select(kinds.alias("kind"), F.col(value).cast("string").alias("v")).where("v IS NOT NULL").mapInPandas(_scan, "kind string, steps string, field string").distinct()
+    picked = df.select(kinds.alias("kind"), F.col(value).cast("string").alias("v")).where("v IS NOT NULL")
+    found = picked.mapInPandas(_scan(fields), "kind string, steps string, field string").distinct()
+    rows = found.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return Catalogue([], whole=False)
+    marks = {r.field for r in rows if r.steps is None}
     by: dict[tuple[str | None, str], set[str]] = {}
-    guard = False
-    for r in small_rows(found, limit, "the catalogue of shapes"):
-        if r.steps is None:
-            guard = True
-            continue
-        fields = by.setdefault((r.kind, r.steps), set())
-        if r.field is not None:
-            fields.add(r.field)
-    return [Shape(tuple(s.split(_SEP)) if s else (), tuple(sorted(f)), k) for (k, s), f in sorted(by.items(), key=lambda x: (x[0][0] or "", x[0][1]))], guard
+    for r in rows:
+        if r.steps is not None:
+            by.setdefault((r.kind, r.steps), set()).update([r.field] if r.field is not None else [])
+    shapes = [Shape(tuple(s.split(_SEP)) if s else (), tuple(sorted(f)), k) for (k, s), f in sorted(by.items(), key=lambda x: (x[0][0] or "", x[0][1]))]
+    return Catalogue(shapes, "guard" in marks, "odd" in marks, "deep" in marks)
 
 
 def merged(shapes: list[Shape]) -> list[Shape]:
@@ -273,8 +341,8 @@ def projection_sql(shape: Shape, root: str = "__doc", guard: bool = False) -> st
     return f"coalesce({build(root, 0, '', _lit(''), 'array()', 0)}, CAST(array() AS {_LEVEL}))"
 
 
-def with_variant(df: DataFrame, keep: list[str], value: str = "v", guard: bool = True) -> DataFrame:
-    """``keep`` columns and ``__doc``, the document as VARIANT.
+def _variant(value: str, guard: bool) -> Column:
+    """The document as VARIANT, null where VARIANT can't hold it.
 
     VARIANT orders the keys of an object; where some object has ``$`` keys
     beside others (``guard``), those that aren't the first are renamed
@@ -283,37 +351,138 @@ def with_variant(df: DataFrame, keep: list[str], value: str = "v", guard: bool =
     text = F.col(value).cast("string")
     if guard:
         text = F.regexp_replace(text, r',(\s*)"\$', r',$1"~\$')
-    return df.select(*keep, F.try_parse_json(text).alias("__doc"))
+    return F.try_parse_json(text)
 
 
-def element_rows(df: DataFrame, keep: list[str], value: str = "v", kind: str | None = None, known: tuple[list[Shape], bool] | None = None) -> DataFrame:
+def _pruned(value):
+    """``value`` without the containers below ``DEPTH``."""
+    root: list = [None]
+    stack = [(value, root, 0, 0)]
+    while stack:
+        node, into, at, depth = stack.pop()
+        if type(node) is dict or type(node) is list:
+            if depth > DEPTH:
+                node = None
+            elif type(node) is dict:
+                copy: dict | list = dict.fromkeys(node)
+                stack += [(x, copy, k, depth + 1) for k, x in node.items()]
+                node = copy
+            else:
+                copy = [None] * len(node)
+                stack += [(x, copy, k, depth + 1) for k, x in enumerate(node)]
+                node = copy
+        into[at] = node
+    return root[0]
+
+
+def _mended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reader = _Reader()
+    for batch in batches:
+        texts = []
+        for text in batch["__text"]:
+            value = reader.read(text)
+            texts.append(json.dumps(_pruned(value)) if type(value) in (dict, list) else None)
+        batch["__text"] = texts
+        yield batch
+
+
+def with_variant(df: DataFrame, keep: list[str], value: str = "v", guard: bool = True, odd: bool = False) -> DataFrame:
+    """``keep`` columns and ``__doc``, the document as VARIANT.
+
+    With ``odd``, documents that VARIANT can't hold are mended: the last
+    value of a repeated name counts, what lies below ``DEPTH`` is left out.
+    """
+    rows = df.select(*keep, F.col(value).cast("string").alias("__text"))
+    parsed = rows.withColumn("__doc", _variant("__text", guard))
+    if not odd:
+        return parsed.select(*keep, "__doc")
+    mended = parsed.where("__doc IS NULL AND __text IS NOT NULL").drop("__doc").mapInPandas(_mended, rows.schema)
+    return parsed.where("__doc IS NOT NULL").select(*keep, "__doc").unionByName(mended.select(*keep, _variant("__text", guard).alias("__doc")))
+
+
+def _walk(value, least: int) -> Iterator[tuple[str, str]]:
+    """(parent_path, child_path) of the element objects at ``least`` levels and more."""
+
+    def path(link) -> str:
+        parts = []
+        while link is not None:
+            link, part = link
+            parts.append(part)
+        return ".".join(reversed(parts))
+
+    stack = [(value, None, None, 0, False)]
+    while stack:
+        node, link, parent, depth, element = stack.pop()
+        if type(node) is dict:
+            if _stands_for_value(node):
+                continue
+            if element:
+                if depth >= least:
+                    yield path(parent), path(link)
+                parent = link
+            stack += [(x, (link, k), parent, depth + 1, False) for k, x in node.items() if type(x) in (dict, list)]
+        elif type(node) is list:
+            stack += [(x, (link, str(i)), parent, depth + 1, True) for i, x in enumerate(node) if type(x) in (dict, list)]
+
+
+def walked_rows(df: DataFrame, keep: list[str], value: str = "v", least: int = 0) -> DataFrame:
+    """``keep, parent_path, child_path`` of the objects at ``least`` levels and more, read by the walker."""
+    picked = df.select(*keep, F.col(value).cast("string").alias("__text")).where("__text IS NOT NULL")
+    if least:  # that deep takes so many brackets
+        picked = picked.where(F.length("__text") - F.length(F.translate("__text", "[{", "")) >= least)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _Reader()
+        for batch in batches:
+            at, links = [], []
+            for n, text in enumerate(batch["__text"]):
+                value = reader.read(text)
+                own = [(printable(a), printable(b)) for a, b in _walk(value, least)] if type(value) in (dict, list) else []
+                at += [n] * len(own)
+                links += own
+            rows = batch.drop(columns="__text").iloc[at].reset_index(drop=True)
+            yield rows.assign(__parent=pd.Series([a for a, _ in links], dtype=object), __child=pd.Series([b for _, b in links], dtype=object))
+
+    ddl = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
+    rows = picked.mapInPandas(run, f"{ddl}__parent string, __child string")
+    return rows.select(*keep, F.col("__parent").alias("parent_path"), F.col("__child").alias("child_path"))
+
+
+def element_rows(df: DataFrame, keep: list[str], value: str = "v", kind: str | None = None, known: Catalogue | None = None) -> DataFrame:
     """``keep, parent_path, child_path``: each object that is an array element.
 
     ``kind`` may name a column whose values have shapes of their own; it
     only saves work. ``known`` may be what ``find_shapes`` gave for these
     documents, to save that pass. Paths are dotted with 0-based positions;
     ``parent_path`` is the nearest enclosing element, empty if there is
-    none. Null documents, text that isn't JSON and objects that repeat a
-    name (both listed by ``unreadable``) have no rows; an object whose first
-    key starts with ``$`` is a value; strings are leaves whatever they hold;
-    scalars and nulls in an array keep their position. Documents without
-    arrays of objects have no rows; an empty table gives an empty result.
+    none. Null documents and text that isn't JSON (listed by ``unreadable``)
+    have no rows; where an object repeats a name the last value counts, at
+    any depth; an object whose first key starts with ``$`` is a value;
+    strings are leaves whatever they hold; scalars and nulls in an array
+    keep their position. Documents without arrays of objects have no rows;
+    an empty table gives an empty result.
     """
-    shapes, guard = known or find_shapes(df, value, kind)
+    catalogue = known or find_shapes(df, value, kind, fields=False)
+    if not catalogue.whole:
+        return walked_rows(df, keep, value)
     targets: dict[str | None, list[Shape]] = {}
-    for s in shapes:
+    for s in catalogue.shapes:
         if s.steps:
             targets.setdefault(s.kind, []).append(s)
     if not targets:
-        return df.where("false").select(*keep, F.lit("").alias("parent_path"), F.lit("").alias("child_path"))
-    if kind is None or len(targets) == 1 or len(targets) > _MOST_KINDS:
-        sql = links_sql(merged([s for own in targets.values() for s in own]), guard=guard)
-        parsed = with_variant(df, keep, value, guard)
+        rows = df.where("false").select(*keep, F.lit("").alias("parent_path"), F.lit("").alias("child_path"))
+    elif kind is None or len(targets) == 1:
+        sql = links_sql(merged([s for own in targets.values() for s in own]), guard=catalogue.guard)
+        rows = with_variant(df, keep, value, catalogue.guard, catalogue.odd).select(*keep, F.inline(F.expr(sql)))
     else:
-        cases = [f"WHEN __kind {'IS NULL' if k is None else '= ' + _lit(k)} THEN {links_sql(own, guard=guard)}" for k, own in targets.items()]
+        alike: dict[str, list[str | None]] = {}  # kinds of the same shapes share a branch
+        for k, own in targets.items():
+            alike.setdefault(links_sql(own, guard=catalogue.guard), []).append(k)
+        cases = [f"WHEN {' OR '.join('__kind IS NULL' if k is None else f'__kind = {_lit(k)}' for k in kinds)} THEN {sql}" for sql, kinds in alike.items()]
         sql = f"CASE {' '.join(cases)} ELSE CAST(array() AS {_LINKS}) END"
-        parsed = with_variant(df.withColumn("__kind", F.col(kind).cast("string")), [*keep, "__kind"], value, guard)
-    return parsed.select(*keep, F.inline(F.expr(sql)))
+        parsed = with_variant(df.withColumn("__kind", F.col(kind).cast("string")), [*keep, "__kind"], value, catalogue.guard, catalogue.odd)
+        rows = parsed.select(*keep, F.inline(F.expr(sql)))
+    return rows.unionByName(walked_rows(df, keep, value, DEPTH + 1)) if catalogue.deep else rows
 
 
 def _leaf(field: str) -> Column:
@@ -332,7 +501,7 @@ def _column_names(fields: Iterable[str]) -> list[str]:
     return out
 
 
-def flat_tables(df: DataFrame, keep: list[str], value: str = "v", known: tuple[list[Shape], bool] | None = None) -> dict[str, DataFrame]:
+def flat_tables(df: DataFrame, keep: list[str], value: str = "v", known: Catalogue | None = None) -> dict[str, DataFrame]:
     """One flat table per shape, by its name (the root's is empty).
 
     Each is a projection of its own with one ``inline``; nothing is read for
@@ -340,12 +509,18 @@ def flat_tables(df: DataFrame, keep: list[str], value: str = "v", known: tuple[l
 
     Columns: ``keep``, ``parent_path``, ``child_path``, ``positions`` (of all
     ancestors), then ``f:`` and the name for each scalar field as text,
-    wrapped values as JSON, null where null or missing.
+    wrapped values as JSON, null where null or missing. Objects more than
+    ``DEPTH`` levels down have no table of their own (``element_rows`` lists
+    them). More shapes than ``find_shapes`` takes raise an error: names are
+    then data and belong into rows first.
     """
-    shapes, guard = known or find_shapes(df, value)
-    parsed = with_variant(df, keep, value, guard)
+    catalogue = known or find_shapes(df, value)
+    if not catalogue.whole:
+        raise ValueError("the documents have too many shapes for a table each")
+    guard = catalogue.guard
+    parsed = with_variant(df, keep, value, guard, catalogue.odd)
     tables = {}
-    for s in merged(shapes):
+    for s in merged(catalogue.shapes):
         names = _column_names(s.fields)
         leaves = [_leaf(f).alias(f"f:{n}") for f, n in zip(s.fields, names)]
         if s.steps:
@@ -372,5 +547,13 @@ def flat_table(df: DataFrame, keep: list[str], name: str, fields: list[str], val
 
 
 def unreadable(df: DataFrame, keep: list[str], value: str = "v") -> DataFrame:
-    """``keep`` of the rows whose text can't be read as a document."""
-    return df.where(F.col(value).isNotNull() & F.try_parse_json(F.col(value).cast("string")).isNull()).select(*keep)
+    """``keep`` of the rows whose text isn't JSON."""
+    rows = df.select(*keep, F.col(value).cast("string").alias("__text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _Reader()
+        for batch in batches:
+            # a null value is JSON too
+            yield batch[[reader.read(t) is None and t.strip() != "null" for t in batch["__text"]]]
+
+    return rows.where(F.col("__text").isNotNull() & F.try_parse_json("__text").isNull()).mapInPandas(run, rows.schema).select(*keep)

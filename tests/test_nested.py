@@ -32,10 +32,15 @@ def brute(row, text):
     return out
 
 
+def deep(n, inner='{"x":1}'):
+    return '{"n":' + "[" * n + inner + "]" * n + "}"
+
+
 CASES = [
     None, "", "not json", "5", "[]", "{}", '[{"a":1},{"b":[{}]}]', '{"a":[{"b":[{"c":1},null,"x"]},[[{"d":1}],{"e":[{}]}],{"$oid":"x"}]}', '{"a":{"b":[{"c":{"d":[{"e":1}]}}]}}',
     '{"s":"[{\\"a\\":1}]","t":[{"u":"{}"}]}', '{"a":[{"x":1,"$y":[{"z":1}]},{"$y":2,"x":[{"z":1}]}]}', '{"a":[{"it\'s":[{"q\\"uote":[{}]}]}]}', '{"A":[{"b":1}],"a":[{"B":[{}]}]}', '{"n":' + "[" * 30 + '{"x":1}' + "]" * 30 + "}",
     '{"\\u00e9":[{"k.l":[{"m":1}]}]}', '{"a":[{"b":"' + "x" * 200000 + '"}]}',
+    '{"a":[{"b":1,"b":[{}]},{"c":[{}],"c":2}],"a":[{"d":[{"e":1,"e":2}]}]}', deep(9), deep(10), deep(11), deep(31), deep(12, '{"y":[{}],"z":{"$oid":1}},{}'), deep(600), '{"o":' * 40 + '[{"p":[{}]}]' + "}" * 40, deep(5, '{"q":1,"q":' + deep(20) + "}"),
 ]
 
 
@@ -82,7 +87,25 @@ def test_without_elements(spark, rows):
 
 def test_unreadable(spark):
     df = spark.createDataFrame([(1, "{"), (2, '{"a":1,"a":2}'), (3, "{}"), (4, None)], "row_id long, v string")
-    assert sorted(r.row_id for r in nested.unreadable(df, ["row_id"]).collect()) == [1, 2]
+    assert sorted(r.row_id for r in nested.unreadable(df, ["row_id"]).collect()) == [1]
+
+
+def test_very_deep_documents_and_repeated_names(spark):
+    # deeper than the parsers of JSON reach by themselves
+    texts = [deep(20_000), '{"a":[{"b":1}],"c":1,"c":[{"d":2}]}', '{"a":[{"b":3}]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, v string")
+    rows = [tuple(r) for r in nested.element_rows(df, ["row_id"]).collect()]
+    assert sorted(rows) == [(0, "", "n" + ".0" * 20_000), (1, "", "a.0"), (1, "", "c.0"), (2, "", "a.0")]
+    assert sorted(r.child_path for r in nested.flat_tables(df, ["row_id"])["c.[]"].collect()) == ["c.0"]
+
+
+def test_many_kinds_and_more_shapes_than_are_projected(spark, monkeypatch):
+    texts = [(n, f"k{n % 50}" if n % 7 else None, json.dumps({f"f{n % 45}": [{"x": [{"y": n}]}]})) for n in range(120)]
+    df = spark.createDataFrame(texts, "row_id long, coll string, v string")
+    expected = set().union(*(brute(n, t) for n, _, t in texts))
+    assert {tuple(r) for r in nested.element_rows(df, ["row_id"], kind="coll").collect()} == expected
+    catalogue = nested.find_shapes(df, limit=10)
+    assert not catalogue.whole and {tuple(r) for r in nested.element_rows(df, ["row_id"], known=catalogue).collect()} == expected
 
 
 def test_plan_reads_two_columns_and_does_not_shuffle(spark, data_dir):
