@@ -31,25 +31,44 @@ _ONE_TO_ONE = {ord(a): b for a, b in _HOMOGLYPHS.items()} | EAST_TO_WEST | {c: c
 _FOREIGN = re.compile("[" + "".join(re.escape(chr(c)) for c in _ONE_TO_ONE) + "]")
 
 
-class Traced(NamedTuple):
-    """A rewritten text: ``cuts`` are where stretches start, ``shifts`` what to add there.
+class Layer:
+    """One rewriting step: stretches of the new text and where they come from.
 
-    ``starts`` and ``ends`` give the source span of each character of the
-    text before the stretches were joined; None where it is the source.
+    A stretch is a copy, character for character, or stands as a whole for
+    what it replaced.
     """
 
+    def __init__(self, text: str, edits: list[tuple[int, int, str]]):
+        """``edits`` are (start, end, replacement), in order and apart."""
+        parts, self.starts, self.olds, size, at = [], [], [], 0, 0
+        for a, b, new in [*edits, (len(text), len(text), "")]:
+            for old_a, old_b, piece, copy in ((at, a, text[at:a], True), (a, b, new, False)):
+                if piece:
+                    parts.append(piece)
+                    self.starts.append(size)
+                    self.olds.append((old_a, old_b, copy))
+                    size += len(piece)
+            at = b
+        self.text = "".join(parts)
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        n, m = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        a, _, copy = self.olds[n]
+        c, d, copied = self.olds[m]
+        return a + (start - self.starts[n] if copy else 0), c + end - self.starts[m] if copied else d
+
+
+class Traced(NamedTuple):
+    """A rewritten text, and what leads back from it: a layer, and the source span of each character below it."""
+
     text: str
-    cuts: list[int]
-    shifts: list[int]
+    layer: Layer | None
     starts: list[int] | None
     ends: list[int] | None
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        a = start + self.shifts[bisect_right(self.cuts, start) - 1]
-        b = end - 1 + self.shifts[bisect_right(self.cuts, end - 1) - 1]
-        if self.starts is None:
-            return a, b + 1
-        return self.starts[a], self.ends[b]
+        a, b = self.layer.source(start, end) if self.layer else (start, end)
+        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
 
 def _undouble(text: str) -> tuple[str, list[int], list[int]]:
@@ -93,19 +112,13 @@ def traced(text: str) -> Traced:
     if not text.isascii() and _FOREIGN.search(text):
         text = text.translate(_ONE_TO_ONE)
     if "->" not in text:
-        return Traced(text, [0], [0], starts, ends)
-    parts, cuts, shifts, size, at = [], [], [], 0, 0
+        return Traced(text, None, starts, ends)
+    edits, at = [], 0
     for m in _TIMES.finditer(text):
-        if m.start() > at:
-            parts += (text[at : m.start()], "\x00")
-            cuts.append(size)
-            shifts.append(at - size)
-            size += m.start() - at + 1
+        edits.append((*m.span(), "\x00" if m.start() > at else ""))
         at = m.end()
-    parts.append(text[at:])
-    cuts.append(size)
-    shifts.append(at - size)
-    return Traced("".join(parts), cuts, shifts, starts, ends)
+    layer = Layer(text, edits)
+    return Traced(layer.text, layer, starts, ends)
 
 
 #: Misreadings undone one for one, to compare words letter by letter.
@@ -129,23 +142,44 @@ def fold(text: str) -> str:
     return text.translate(_FOLD_TABLE)
 
 
-# --- email addresses -----------------------------------------------------
+# --- disguised addresses of mailboxes ------------------------------------
 
-_AT = r"(?:@|\s+@\s+|\s*[(\[{<]\s*(?:at|@|arroba|arobase|klammeraffe)\s*[)\]}>]\s*)"
-_DOT = r"(?:\.|\s*[(\[{<]\s*(?:dot|\.|punto|point|punkt)\s*[)\]}>]\s*)"
-_EMAIL = re.compile(rf"(?<![\w.+-])[\w|][\w|.+%-]*{_AT}[\w|-]+(?:{_DOT}[\w|-]+)*{_DOT}[^\W\d_][\w|]+", re.I)
-_SPOKEN_EMAIL = re.compile(
-    r"(?<![\w.+-])[\w|]+(?:(?:\.|\s+(?:dot|punto|point|punkt)\s+)[\w|]+)*\s+(?:at|arroba|arobase|klammeraffe|chez)\s+[\w-]+(?:(?:\.|\s+(?:dot|punto|point|punkt)\s+)[\w-]+)*\s+(?:dot|punto|point|punkt)\s+[^\W\d_]{2,}", re.I
+#: Words for the two signs of an address.
+_AT_WORDS, _DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punto|point|punkt"
+_AT_DISGUISED = re.compile(rf"\s*[(\[{{<]\s*(?:{_AT_WORDS}|@)\s*[)\]}}>]\s*|\s+@\s+|&#(?:64|x40);|&commat;|(?<=[^\W_])(?-i:_AT_|-AT-)(?=[^\W_])", re.I)
+_DOT_DISGUISED = re.compile(rf"\s*[(\[{{<]\s*(?:{_DOT_WORDS}|\.)\s*[)\]}}>]\s*|&#(?:46|x2e);|&period;|(?<=[^\W_])(?-i:_DOT_|-DOT-)(?=[^\W_])", re.I)
+#: An address read out: words for both signs, with blanks around them.
+_READ_OUT = re.compile(
+    rf"(?<![\w.+-])[\w|]+(?:(?:\.|\s+(?:{_DOT_WORDS})\s+)[\w|]+)*\s+(?:{_AT_WORDS}|chez)\s+[\w-]+(?:(?:\.|\s+(?:{_DOT_WORDS})\s+)[\w-]+)*\s+(?:{_DOT_WORDS})\s+[^\W\d_]{{2,}}", re.I
 )
-_AT_SIGN = re.compile(r"@|[(\[{<]\s*(?:at|arroba|arobase|klammeraffe)\s*[)\]}>]", re.I)
-_SPOKEN_SIGN = re.compile(r"\s(?:dot|punto|point|punkt)\s", re.I)
+_READ_SIGN = re.compile(rf"\s+(?:({_AT_WORDS}|chez)|{_DOT_WORDS})\s+", re.I)
+#: An address with its letters or signs set apart by blanks.
+_SET_APART = re.compile(r"(?:(?<!\b[^\W_] )(?<![\w.+-])(?:[^\W_] ){3,}+@|(?<![\w.+|-])[\w|][\w|.+%-]*+ ?@) ?(?:(?:[^\W_] ){2,}[^\W_]|[\w-]+)(?:(?: \. |\.(?! ))(?:(?:[^\W_] )+[^\W_](?![\w])|[\w-]+))+")
+_SOME_AT = re.compile(rf"@|[(\[{{<]\s*(?:{_AT_WORDS})\s*[)\]}}>]|&#(?:64|x40);|&commat;|(?-i:[_-]AT[_-])", re.I)
+_SOME_DOT_WORD = re.compile(rf"\s(?:{_DOT_WORDS})\s", re.I)
+_EMAIL = re.compile(r"(?<![\w.+|-])[\w|][\w|.+%-]*@[\w|-]+(?:\.[\w|-]+)*\.[^\W\d_][\w|]+", re.I)
+
+
+def _signs(text: str) -> list[tuple[int, int, str]]:
+    """Edits that put ``@`` and ``.`` in place of their disguises."""
+    edits = []
+    if _SOME_AT.search(text):
+        edits += [(*m.span(), "@") for m in _AT_DISGUISED.finditer(text)]
+        edits += [(*m.span(), ".") for m in _DOT_DISGUISED.finditer(text)]
+        for m in _SET_APART.finditer(text) if " @ " in text else ():
+            own = [(m.start() + b.start(), m.start() + b.end(), "") for b in re.finditer(" ", m[0])]
+            if len(own) > 2:  # more than the blanks around the sign
+                edits = [e for e in edits if e[1] <= m.start() or e[0] >= m.end()] + own
+    if _SOME_DOT_WORD.search(text):
+        for m in _READ_OUT.finditer(text):
+            own = [(m.start() + b.start(), m.start() + b.end(), "@" if b[1] else ".") for b in _READ_SIGN.finditer(m[0])]
+            edits += [x for x in own if not any(x[0] < b and a < x[1] for a, b, _ in edits)]
+    return edits
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    if _AT_SIGN.search(text):
+    if "@" in text:
         yield from (m.span() for m in _EMAIL.finditer(text))
-    if _SPOKEN_SIGN.search(text):
-        yield from (m.span() for m in _SPOKEN_EMAIL.finditer(text))
 
 
 # --- phone and identity numbers ------------------------------------------
@@ -161,15 +195,6 @@ _RUN = re.compile(
 _DIGITISED = str.maketrans("OolI|SB", "0011158")
 _DIGIT_LIKE = re.compile(r"(?<=[0-9.+/() -])[OolI|SB]+(?=[0-9.+/() -]|\Z)|(?<=\d)[OolI|SB]+(?=\d|\Z)")
 
-#: Shapes of telephone numbers (9 for any digit, space for white space).
-_PHONE_SHAPES = (
-    "(999) 999-9999", "+9 999 999 9999", "+9 (999) 999-9999", "+9 999.999.9999", "+9-999-999-9999", "999.999.9999", "999-9999",
-    "999 9999 9999", "+99 99 9999 9999", "+99 (0)99 9999 9999", "+99 999 999 9999",
-    "(999) 99999999", "999 99999 999", "999/99999999", "999 99999999", "999/99999 999", "999 99999-999", "999/99999-999", "(999) 99999-999", "(999) 99999 999",
-    "0099 99 99999999", "+99 99 99999999", "+99 99 99999-999", "0099 99 99999-999", "+99 99 99999 999", "0099 99 99999 999",
-    "99 99 99 99 99", "99.99.99.99.99", "99-99-99-99-99", "+99 9 99 99 99 99", "+99 9.99.99.99.99", "0099 9 99 99 99 99", "9999 99 9999", "0999999999",
-    "999 99 99 99", "999-9999-99", "+99 999 99 99 99", "+99 999999999", "0099 999 99 99 99", "0099999999999", "+99999999999", "999 999 999",
-)
 #: Shapes of numbers issued to a person (A for any letter).
 _IDENTITY_SHAPES = (
     "999-99-9999", "999 99 9999", "AA999999A", "AA 99 99 99 A",
@@ -177,9 +202,39 @@ _IDENTITY_SHAPES = (
     "99AA99999", "A99AA99999", "9 99 99 99 999 999 99", "999999999999999",
     "99.999.999-A", "99999999A", "99999999-A", "A9999999A", "A-9999999-A",
 )
-_SHAPES = {s: "phone" for s in _PHONE_SHAPES} | {s: "identity" for s in _IDENTITY_SHAPES}
-#: Words before a number that belongs to a thing, or before a time.
-_OF_THINGS = re.compile(rf"(?:{'|'.join(map(fold, 'order batch lot lote charge bestellung commande pedido auftrag says dit dice steht room zimmer chambre cuarto'.split()))})[\s:#]*\Z")
+#: By country: an international prefix, a trunk zero, or the length and the groups of a national number.
+_PLANS = tuple(
+    (re.compile(rf"(?:{shape})\Z"), least, most)
+    for shape, least, most in (
+        (r"\+[1-9][0-9]*+(?:[ .-]{0,2}\(0\))?+(?:[ ./-]?\(?[0-9]++\)?)*+", 8, 15),
+        (r"00[ .-]?[1-9][0-9]*+(?:[ ./-]?[0-9]++)*+", 10, 17),
+        (r"0[1-9][0-9]{8,10}|\(0[1-9][0-9]{0,4}\)[ /-]?[0-9]+(?:[ -][0-9]+)*|0[1-9](?:\.[0-9]{2}){4}|(?!0[1-9][/-][0-9]{2}[/-][0-9]{4}(?![0-9]))0[1-9][0-9]{0,4}(?:[ /-][0-9]+)+", 9, 12),
+        (r"(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}([ .-]))[2-9][0-9]{2}(?:(?(1)\1|[ .-]))[0-9]{4}|[2-9][0-9]{2}[2-9][0-9]{6}", 10, 11),
+        (r"[2-9][0-9]{2}-[0-9]{4}", 7, 7),
+        (r"[5-9][0-9]{2} [0-9]{3} [0-9]{3}|[5-9][0-9]{2}([ .-])[0-9]{2}\1[0-9]{2}\1[0-9]{2}|[5-9][0-9]{2}-[0-9]{4}-[0-9]{2}", 9, 9),
+    )
+)
+
+
+def _in_plan(run: str) -> bool:
+    """Whether ``run`` is a telephone number of one of the plans."""
+    n = sum(c.isdigit() for c in run)
+    if not 7 <= n <= 17:
+        return False
+    run = re.sub(r"\s+", " ", run)
+    return any(least <= n <= most and shape.match(run) for shape, least, most in _PLANS)
+
+
+_SHAPES = {s: "identity" for s in _IDENTITY_SHAPES}
+_NUMBER_WORD = "|".join(map(fold, "number no nr nummer numero número".split()))
+#: Words before a number that belongs to a thing, before a time, and before a number issued to a person.
+_SHORT_GOODS, _LONG_GOODS = "|".join(map(fold, "lot lote reel room".split())), "|".join(map(fold, "order batch charge bestellung commande pedido auftrag zimmer chambre cuarto".split()))
+_OF_GOODS = re.compile(rf"(?:(?<!\w)(?:{_SHORT_GOODS})|{_LONG_GOODS})(?:\s+(?:{_NUMBER_WORD}))?[\s:#,]*\Z")
+_OF_TIMES = re.compile(rf"(?:{'|'.join(map(fold, 'says dit dice steht'.split()))})[\s:#]*\Z")
+_CLOCK = re.compile(r"[0-9]{2}([:. -])[0-9]{2}\1[0-9]{2}(?:[:. ,-][0-9]{2,3})?\Z")
+_OF_PERSONS = re.compile(rf"(?<!\w)(?:{'|'.join(map(fold, 'passport passeport pasaporte identity identité identidad insurance security tax ssn ausweis personalausweis steuernummer sécu dni nie nif'.split()))})(?:\s+(?:{_NUMBER_WORD}|{'|'.join(map(fold, 'is ist est es'.split()))}))*[\s:#?,]*\Z")
+#: A number of letters and digits, if a word before it says that it was issued to a person.
+_ISSUED = re.compile(r"(?=(?:[A-Z]*[0-9]){5})[A-Z0-9][A-Z0-9-]{5,14}\Z")
 _MASK = re.compile(r"[0-9]")
 _LETTERS = re.compile(r"[A-Z]")
 
@@ -202,7 +257,15 @@ def _classified(run: str) -> str | None:
     for shape, kind in _MASKED.get(_shape(run), ()):
         if _fits(run, shape):
             return kind
-    return None
+    return "phone" if _in_plan(run) else None
+
+
+def _owner(kind: str, run: str, before: str) -> str | None:
+    """The type of a number by the words before it; None for one of a thing or a time."""
+    before = fold(before)
+    if _OF_GOODS.search(before) or _CLOCK.match(run) and _OF_TIMES.search(before):
+        return None
+    return "identity" if kind == "phone" and _OF_PERSONS.search(before) else kind
 
 
 def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
@@ -219,10 +282,15 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
             kind = _classified(candidate)
             if kind:
                 pos = b
-                if not _OF_THINGS.search(fold(text[max(0, a - 24) : a])):
+                kind = _owner(kind, candidate, text[max(0, a - 40) : a])
+                if kind:
                     yield kind, a, b
                 break
-        else:  # the number may start at a later word of the run
+        else:
+            if _ISSUED.match(run) and _OF_PERSONS.search(fold(text[max(0, start - 40) : start])):
+                yield "identity", start, end
+                continue
+            # the number may start at a later word of the run
             later = re.search(r"\s+(?=[+(]?\w)", run)
             if later:
                 pos = start + later.end()
@@ -266,31 +334,42 @@ _ITEM = rf"(?:(?:(?:double|triple)\s+)?(?:{_ANY_DIGIT_WORD})(?!\w)|[0-9]{{1,12}}
 #: A number with digits in words, figures between them or not. Sentence signs part words from words only.
 _MIXED = re.compile(rf"(?<!\w)(?:(?<![.,@:/-])(?=[+(0-9])|(?=[^\W\d]))(?:plus\s+|\+|\()?{_ITEM}(?:(?:[ ()-]{{1,3}}|[ -]?\r?\n|[,.]\s(?![0-9])(?<![0-9][,.]\s)){_ITEM})++", re.I)
 _PART = re.compile(rf"(double|triple)\s+|({_ANY_DIGIT_WORD})(?!\w)|[0-9]+|[,.-]\s*", re.I)
-_NUMBER_WORD = "|".join(map(fold, "number no nr nummer numero número".split()))
-#: Words before a number issued to a person, and before one that belongs to a thing.
-_OF_PERSONS = re.compile(rf"(?<!\w)(?:{'|'.join(map(fold, 'passport passeport pasaporte identity identité identidad insurance security tax ssn ausweis personalausweis steuernummer sécu dni nie nif'.split()))})(?:\s+(?:{_NUMBER_WORD}|{'|'.join(map(fold, 'is ist est es'.split()))}))*[\s:#?,]*\Z")
-_OF_GOODS = re.compile(rf"(?<!\w)(?:{'|'.join(map(fold, 'order batch lot lote charge bestellung commande pedido auftrag reel room zimmer chambre cuarto'.split()))})(?:\s+(?:{_NUMBER_WORD}))?[\s:#,]*\Z")
 
 
-def _in_figures(run: str) -> tuple[str, int]:
-    """The run with its words as digits, and the digits that were words; signs between words are dashes."""
-    out, spelled, times = [], 0, 1
-    for m in _PART.finditer(run):
+def _figure_edits(text: str, a: int, b: int) -> tuple[list[tuple[int, int, str]], int]:
+    """Edits that put figures in place of the words of a number, and how many digits were words.
+
+    Signs between words become dashes, blanks go.
+    """
+    edits, spelled, times, at, begun = [], 0, 1, a, None
+    for m in _PART.finditer(text, a, b):
+        start = m.start() if begun is None else begun
+        if start > at and begun is None:
+            edits.append((at, start, "+" if re.match(r"\+|plus\b", text[at:start], re.I) else ""))
         if m[1]:
-            times = _REPEATS[m[1].lower()]
-        elif m[2]:
+            times, begun = _REPEATS[m[1].lower()], start
+            at = m.end()
+            continue
+        if m[2]:
             word = m[2].lower().replace("ſ", "s").replace("ı", "i").replace("i̇", "i")
-            out.append(_DIGIT_WORDS[word] * times)
-            spelled, times = spelled + times, 1
-        else:
-            out.append(m[0] if m[0][0].isdigit() else "-")
-    return "".join(out), spelled
+            edits.append((start, m.end(), _DIGIT_WORDS[word] * times))
+            spelled += times
+        elif not m[0][0].isdigit():
+            edits.append((start, m.end(), "-"))
+        times, at, begun = 1, m.end(), None
+    return edits, spelled
+
 
+def _figures(text: str, a: int, b: int) -> tuple[str, int]:
+    edits, spelled = _figure_edits(text, a, b)
+    return Layer(text[a:b], [(x - a, y - a, new) for x, y, new in edits]).text, spelled
 
-def _spelled_numbers(text: str) -> Iterator[tuple[str, int, int]]:
-    """(type, start, end) of numbers written in words or partly so."""
-    if _digit_words(text) < 3:  # most texts have fewer
-        return
+
+def _spelled_runs(text: str) -> list[tuple[int, int]]:
+    """Where numbers are written in words or partly so."""
+    words = _digit_words(text)
+    if words < 3:  # most texts have fewer
+        return []
     found: list[tuple[int, int]] = []
     for m in _MIXED.finditer(text):
         start, end = m.span()
@@ -303,25 +382,58 @@ def _spelled_numbers(text: str) -> Iterator[tuple[str, int, int]]:
             end = start + whole.start() + len(whole[0].rstrip(" ,.-\r\n"))
             if run[0] not in "+(0":
                 start += whole.start()
-            run = text[start:end]
         elif not any(c.isdigit() for c in run) and not re.search(r"double|triple", run, re.I):
             continue
-        figures, spelled = _in_figures(run)
+        figures, spelled = _figures(text, start, end)
         if spelled >= 3 and 7 <= sum(c.isdigit() for c in figures) <= 15:
             found.append((start, end))
-    found += [(a, b) for a, b in _spelled(text) if not any(a < y and x < b for x, y in found)]
-    for a, b in found:
-        before = fold(text[max(0, a - 40) : a])
-        if _OF_GOODS.search(before):
-            continue
-        issued = _classified(_in_figures(text[a:b])[0]) == "identity" or _OF_PERSONS.search(before)
-        yield "identity" if issued else "phone", a, b
+    if words >= 7:
+        for m in _SPELLED.finditer(text):
+            a, b = m.start(), m.start() + len(m[0].rstrip(" ,.-\r\n"))
+            if not any(a < y and x < b for x, y in found):
+                found.append((a, b))
+    return sorted(found)
 
 
-def _figures_outside(text: str, spelled: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """Numbers in figures, but for those in a longer one that is partly in words."""
-    yield from ((kind, a, b) for kind, a, b in _numbers(text) if not any(a < y and x < b for _, x, y in spelled))
+class Plain(NamedTuple):
+    """A text without disguises: signs and figures as such; ``spelled`` are the numbers that were words."""
 
+    text: str
+    layer: Layer | None
+    spelled: list[tuple[int, int]]
+
+
+def undisguised(text: str) -> Plain:
+    runs = _spelled_runs(text)
+    edits = [e for a, b in runs for e in _figure_edits(text, a, b)[0]]
+    for e in sorted(_signs(text)):
+        if not any(e[0] < b and a < e[1] for a, b in runs) and not (edits and e[0] < edits[-1][1] and edits[-1][0] < e[1]):
+            edits.append(e)
+    if not edits:
+        return Plain(text, None, [])
+    edits.sort()
+    moved, shift, n = [], 0, 0
+    for a, b in runs:
+        while n < len(edits) and edits[n][1] <= a:
+            shift += len(edits[n][2]) - edits[n][1] + edits[n][0]
+            n += 1
+        start = a + shift
+        while n < len(edits) and edits[n][1] <= b:
+            shift += len(edits[n][2]) - edits[n][1] + edits[n][0]
+            n += 1
+        moved.append((start, b + shift))
+    layer = Layer(text, edits)
+    return Plain(layer.text, layer, moved)
+
+
+def _all_numbers(said: Plain) -> Iterator[tuple[str, int, int]]:
+    """Numbers of persons; one that was written in words may be any local number."""
+    for a, b in said.spelled:
+        run = said.text[a:b]
+        kind = _owner(_classified(run) or "phone", run, said.text[max(0, a - 40) : a])
+        if kind:
+            yield kind, a, b
+    yield from ((kind, a, b) for kind, a, b in _numbers(said.text) if not any(a < y and x < b for x, y in said.spelled))
 
 
 def _digit_words(text: str) -> int:
@@ -331,12 +443,6 @@ def _digit_words(text: str) -> int:
     return sum(map(_COUNTED.__contains__, _WORD.findall(text.lower())))
 
 
-def _spelled(text: str) -> Iterator[tuple[int, int]]:
-    if _digit_words(text) >= 7:  # most texts have fewer
-        for m in _SPELLED.finditer(text):
-            yield m.start(), m.start() + len(m[0].rstrip(" ,.-\r\n"))
-
-
 # --- street addresses ----------------------------------------------------
 
 _HOUSE = re.compile(r"(?<![\w.,:/@+-])([0-9OlI|]{1,4}[A-Za-z]?)(?![\w@:/-])(\s+(?:bis|ter|quater)\b)?", re.I)
@@ -344,10 +450,14 @@ _UPPER = "A-ZÀ-ÖØ-ÞŒ0-9|?�"
 _NAME = rf"[{_UPPER}][\w|?�'’]*(?:-(?:\r?\n)?[\w|?�'’]+)*"
 #: Kinds of street by language.
 _EN_KINDS = {skeleton(w) for w in "st street ave avenue lane road rd close drive dr way court ct crescent place boulevard blvd terrace row gardens grove mews".split()}
+#: House numbers that may be years.
+_YEAR = re.compile(r"(?:1[6-9]|20)[0-9]{2}\Z")
 _FR_KINDS = "|".join(map(fold, (r"rue avenue av\. boulevard bd\.? impasse quai place chemin allee route cours passage square sentier venelle").split()))
 _ES_KINDS = r"e/|ealle|avda\.?|avenlda|plaza|pza\.?|paseo|eamlno|ronda|travesla|glorleta|earretera|eallejon|euesta"
 _DE_ENDS = r"(?:stra(?:ss|.)e|str\.?|gasse|weg|stleg|platz|allee|rlng|ufer|damm|ebaussee|pfad|zelle)"
 _EN_STREET = re.compile(rf"\s+((?:{_NAME}\s+){{1,3}}?)({_NAME})(\.)?(?![\w])")
+#: Kinds that are common words too, taken only in mixed case and after no year.
+_EN_BY_NAME = re.compile(rf"\s+(?:Broadway|(?:{_NAME}\s+){{1,3}}?(?:Walk|Circle|Square|Sq|Parkway|Pkwy|Highway|Hwy))(?!\w)")
 _FR_STREET = re.compile(rf",?\s+(?:{_FR_KINDS})\s+(?:(?:de\s+la|du|des|de|aux|au|a\s+la)\s+|(?:de\s+)?[ld]['’])?")
 _FR_NAME = re.compile(rf"{_NAME}(?: (?![0-9]){_NAME})*")
 _ES_BEFORE = re.compile(rf"(?<!\w)(?:{_ES_KINDS})\s*(?:de\s+(?:la|los|las|el)\s+|del\s+|de\s+)?[\w?�'-]+(?:\s+[\w?�'-]+)??,?\s+(?:n[\Wo]?\.?\s*)?\Z")
@@ -368,6 +478,10 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
             if skeleton(en[2].rstrip(".")) in _EN_KINDS:
                 yield start, en.end(3) if en[3] and skeleton(en[2]) in _ABBREVIATED else en.end(2)
                 continue
+        named = _EN_BY_NAME.match(text, end) if not m[2] and not _YEAR.match(m[1]) else None
+        if named:
+            yield start, named.end()
+            continue
         longer = _longer_street(text, end) if not m[2] else None
         if longer:
             yield start, longer
@@ -520,12 +634,10 @@ def find_spans(text: str, names: Names) -> list[tuple[str, int, int, str | None,
     """(type, start, end, family key, sure) in characters of ``text``."""
     at = traced(text)
     clean = at.text
+    said = undisguised(clean)
     found: list[tuple[str, int, int, str | None, bool]] = []
-    for a, b in _emails(clean):
-        found.append(("email", a, b, None, True))
-    spelled = list(_spelled_numbers(clean))
-    for kind, a, b in [*_figures_outside(clean, spelled), *spelled]:
-        found.append((kind, a, b, None, True))
+    for kind, a, b in [*(("email", a, b) for a, b in _emails(said.text)), *_all_numbers(said)]:
+        found.append((kind, *(said.layer.source(a, b) if said.layer else (a, b)), None, True))
     numbers = [(a, b) for _, a, b, _, _ in found]
     for a, b in _addresses(clean):
         if not any(a < y and x < b for x, y in numbers):
@@ -558,17 +670,25 @@ def personal_data(docs: DataFrame, name_list: DataFrame, doc: str = "doc_id", te
     columns are ignored; an empty table gives an empty result. ``limit`` is
     the most names the list may have.
     """
-    listed = small_rows(name_list.select("name_part", "part_kind").where("name_part IS NOT NULL").distinct(), limit, "the list of names")
-    names = Names([r.name_part for r in listed if r.part_kind == "given"], [r.name_part for r in listed if r.part_kind == "family"])
     picked = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
-    spans = staged(picked.mapInPandas(_detect(names), _SPANS), "spans")
+    spans = staged(picked.mapInPandas(_detect(_names(name_list, limit)), _SPANS), "spans")
     sure, open_ = spans.where("sure"), spans.where("NOT sure")
+    kept = sure.unionByName(_resolved(open_, sure).select(sure.columns))
+    return kept.select("doc_id", "pii_type", "char_start", "char_end").distinct()
+
+
+def _names(name_list: DataFrame, limit: int) -> Names:
+    listed = small_rows(name_list.select("name_part", "part_kind").where("name_part IS NOT NULL").distinct(), limit, "the list of names")
+    return Names([r.name_part for r in listed if r.part_kind == "given"], [r.name_part for r in listed if r.part_kind == "family"])
+
+
+def _resolved(open_: DataFrame, sure: DataFrame) -> DataFrame:
+    """The open spans whose family name the corpus has in a sure one; lost letters match any."""
     learned = sure.where("pii_type = 'person'").select("family").distinct()
-    # lost letters of a name match any; both sides are as few as there are names
+    # both sides are as few as there are names
     lost = open_.where("family RLIKE '[?\ufffd]' AND 3 * length(translate(family, '?\ufffd', '')) >= 2 * length(family)").select("family").distinct()
     pairs = lost.join(learned.select(F.col("family").alias("whole")), F.expr("length(family) = length(whole) AND whole LIKE translate(family, '?\ufffd', '__')"), "left_semi")
-    kept = sure.unionByName(open_.join(learned.unionByName(pairs).distinct(), "family", "left_semi").select(sure.columns))
-    return kept.select("doc_id", "pii_type", "char_start", "char_end").distinct()
+    return open_.join(learned.unionByName(pairs).distinct(), "family", "left_semi")
 
 
 def _covered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -591,21 +711,36 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def redact(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, n_spans``: the texts with placeholders for ``found``.
+_TEXTS = "row long, doc_id long, text string, spans array<struct<pii_type: string, char_start: int, char_end: int, family: string, sure: boolean>>"
+
+
+def redact(docs: DataFrame, name_list: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = 2_000_000) -> DataFrame:
+    """``doc_id, text, n_spans``: the texts with placeholders for personal data.
 
-    Every document comes out, also one without spans or with null text.
+    The spans are those of ``personal_data``, found in the same pass over the
+    texts; only documents with a name that the corpus decides are shuffled.
+    Every row comes out, also one without spans, with null text or with a
+    ``doc_id`` that others have too.
     """
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("char_start", "char_end", "pii_type")).alias("spans"))
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(per_doc, "doc_id", "left")
+    names = _names(name_list, limit)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(spans=[[dict(zip(("pii_type", "char_start", "char_end", "family", "sure"), x)) for x in find_spans(t, names)] if t else [] for t in batch["text"]])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    held = staged(rows.mapInPandas(find, _TEXTS), "texts")
+    sure = F.filter("spans", lambda s: s.sure)
+    is_open = F.exists("spans", lambda s: ~s.sure)
+    each = held.select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    more = _resolved(each.where("NOT sure"), each.where("sure")).groupBy("row").agg(F.collect_list(F.struct("pii_type", "char_start", "char_end", "family", "sure")).alias("more"))
+    opened = held.where(is_open).join(more, "row", "left").select("doc_id", "text", F.when(F.col("more").isNull(), sure).otherwise(F.concat(sure, "more")).alias("spans"))
+    settled = held.where(~is_open).select("doc_id", "text", "spans").unionByName(opened)
+
+    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, texts = [], []
-            for t, spans in zip(batch["text"], batch["spans"]):
-                spans = [] if spans is None or t is None else [(s["char_start"], s["char_end"], s["pii_type"]) for s in spans]
-                n.append(len(spans))
-                texts.append(redacted(t, spans) if spans else t)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "n_spans": n})
-
-    return rows.mapInPandas(run, "doc_id long, text string, n_spans int")
+            own = [{(s["char_start"], s["char_end"], s["pii_type"]) for s in spans} for spans in batch["spans"]]
+            texts = [redacted(t, list(x)) if x else t for t, x in zip(batch["text"], own)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "n_spans": list(map(len, own))})
+
+    return settled.mapInPandas(replace, "doc_id long, text string, n_spans int")

@@ -71,8 +71,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents")
-    return pii.redact(docs, pii.personal_data(docs, _table(spark, sf, "name_list")))
+    return pii.redact(_table(spark, sf, "documents"), _table(spark, sf, "name_list"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rate, p1_counts, p1_resumed, p6_found, p6_suites, p6_proximity, p7_mix, p7_shares, p8_found, p8_redacted)}
