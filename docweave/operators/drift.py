@@ -65,16 +65,24 @@ def walk_paths(value, out: list[tuple[str, object]], parent: str = "") -> None:
                     walk_paths(item, out, path)
 
 
-def _document(text: str | None):
+def _document(text: str | None, read: Callable[[str], object] = parse):
     if text is None:
         return None
     try:
-        value = parse(text)
-    except ValueError:
+        value = read(text)
+    except (ValueError, RecursionError):
         return None
     return value if type(value) is Fields and not is_value_object(value) else None
 
 
+def _no_constant(text: str):
+    raise ValueError(f"{text} is not JSON")
+
+
+#: Reads the shape of a document; the exact value of a number doesn't count there.
+_read_shape = json.JSONDecoder(object_pairs_hook=Fields, parse_int=float, parse_constant=_no_constant).decode
+
+
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows: Counter = Counter()
@@ -84,13 +92,15 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text is None:
                 continue
             rows[file] += 1
-            value = _document(text)
+            value = _document(text, _read_shape)
             if value is None:
                 continue
             pairs: list[tuple[str, object]] = []
             walk_paths(value, pairs)
-            holders.setdefault(file, Counter()).update({p for p, _ in pairs})
-            typed.setdefault(file, Counter()).update([(p, type_name(x)) for p, x in pairs])
+            if file not in holders:
+                holders[file], typed[file] = Counter(), Counter()
+            holders[file].update({p for p, _ in pairs})
+            typed[file].update([(p, type_name(x)) for p, x in pairs])
         out = [(f, None, None, n) for f, n in rows.items()]
         out += [(f, printable(p), None, n) for f, found in holders.items() for p, n in found.items()]
         out += [(f, printable(p), t, n) for f, found in typed.items() for (p, t), n in found.items() if t is not None]
@@ -136,17 +146,6 @@ def lifespans(catalogue: DataFrame) -> DataFrame:
     return numbered.groupBy("feed", "path", "type", "island").agg(F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no")).drop("island")
 
 
-def _starts_and_ends(catalogue: DataFrame) -> DataFrame:
-    """``feed, file_no, path, old_type, new_type``: islands that end before or start at a file."""
-    spans = lifespans(catalogue).withColumn("type", F.coalesce("type", F.lit("")))
-    known = catalogue.select("feed", "file_no").distinct()
-    # only files whose predecessor is there can show a change
-    follows = known.join(known.select("feed", (F.col("file_no") + 1).alias("file_no")), ["feed", "file_no"])
-    starts = spans.select("feed", F.col("first_no").alias("file_no"), "path", F.col("type").alias("new_type"))
-    ends = spans.select("feed", (F.col("last_no") + 1).alias("file_no"), "path", F.col("type").alias("old_type"))
-    return starts.join(ends, ["feed", "file_no", "path"], "full").join(follows, ["feed", "file_no"])
-
-
 def _parent(path: Column) -> Column:
     return F.when(F.instr(path, ".") > 0, F.regexp_replace(path, r"\.[^.]*\z", "")).otherwise("")
 
@@ -154,24 +153,23 @@ def _parent(path: Column) -> Column:
 def path_changes(catalogue: DataFrame) -> DataFrame:
     """``feed, file_no, drift_kind, path``: added, removed and retyped paths.
 
-    A path below a changed one is no change of its own.
+    ``lag`` and ``lead`` over the life of a path in its feed tell where an
+    island of it starts, ends or goes on under another type. A path below a
+    changed one is no change of its own.
     """
-    kind = (
-        F.when(F.col("old_type").isNull(), "added")
-        .when(F.col("new_type").isNull(), "removed")
-        .when((F.col("old_type") != "") & (F.col("new_type") != ""), "retyped")
-    )
-    changes = _starts_and_ends(catalogue).withColumn("drift_kind", kind).where("drift_kind IS NOT NULL").select("feed", "file_no", "drift_kind", "path")
-    parts = F.split("path", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat_ws(".", F.slice(parts, F.lit(1), n)))
-    lines = changes.withColumn("above", F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>")))
-    below = (
-        lines.select("feed", "file_no", "path", F.explode("above").alias("upper"))
-        .join(changes.select("feed", "file_no", F.col("path").alias("upper")), ["feed", "file_no", "upper"], "left_semi")
-        .select("feed", "file_no", "path")
-        .distinct()
-    )
-    return changes.join(below, ["feed", "file_no", "path"], "left_anti")
+    line, no = Window.partitionBy("feed", "path").orderBy("file_no"), F.col("file_no")
+    around = catalogue.select("feed", "file_no", "path", "type", F.lag("file_no").over(line).alias("last_no"), F.lag("type").over(line).alias("last_type"), F.lead("file_no").over(line).alias("next_no"))
+    event = lambda when, at, kind: F.when(when, F.struct(at.alias("file_no"), F.lit(kind).alias("drift_kind"), F.col("path").alias("path")))
+    follows = F.coalesce(F.col("last_no") == no - 1, F.lit(False))
+    ends = F.coalesce(F.col("next_no") > no + 1, F.lit(True))
+    events = F.filter(F.array(event(~follows & ~F.coalesce(F.col("last_no") == no, F.lit(False)), no, "added"), event(ends, no + 1, "removed"), event(follows & (F.col("type") != F.col("last_type")), no, "retyped")), F.isnotnull)
+    changes = around.select("feed", F.explode(events).alias("e")).select("feed", "e.*")
+    # only files whose predecessor is there can show a change
+    steps = catalogue.select("feed", "file_no").distinct().withColumn("last_no", F.lag("file_no").over(Window.partitionBy("feed").orderBy("file_no"))).where("last_no = file_no - 1")
+    of_file = changes.join(steps.select("feed", "file_no"), ["feed", "file_no"]).groupBy("feed", "file_no").agg(F.collect_list(F.struct("path", "drift_kind")).alias("own"), F.collect_set("path").alias("paths"))
+    above = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat_ws(".", F.slice(parts, F.lit(1), n)))
+    below = lambda path: (F.instr(path, ".") > 0) & F.exists(above(F.split(path, r"\.")), lambda upper: F.array_contains("paths", upper))
+    return of_file.select("feed", "file_no", F.explode(F.filter("own", lambda c: ~below(c.path))).alias("c")).select("feed", "file_no", "c.drift_kind", "c.path")
 
 
 def _values_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,48 +190,64 @@ def _values_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["feed", "at_no", "path", "old", "k", "row_no", "held"])
 
 
-def _one_partner_each(pairs: pd.DataFrame) -> pd.DataFrame:
-    lines = sorted(zip(-pairs["same"] / pairs["both"], -pairs["both"], pairs["old_path"], pairs["new_path"], pairs["feed"], pairs["at_no"]))
-    olds, news, out = set(), set(), []
-    for _, _, old, new, feed, no in lines:
-        if old not in olds and new not in news:
-            olds.add(old)
-            news.add(new)
-            out.append((feed, no, old, new))
-    return pd.DataFrame(out, columns=["feed", "file_no", "old_path", "new_path"])
+def _one_partner_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for feed, no, pairs in zip(batch["feed"], batch["at_no"], batch["pairs"]):
+            olds, news = set(), set()
+            for _, _, old, new in sorted((-p["same"] / p["both"], -p["both"], p["old_path"], p["new_path"]) for p in pairs):
+                if old not in olds and new not in news:
+                    olds.add(old)
+                    news.add(new)
+                    out.append((feed, no, old, new))
+        yield pd.DataFrame(out, columns=["feed", "file_no", "old_path", "new_path"])
+
+
+#: Up to this many changed paths in all go to every task along with the documents; more are joined by file and salt.
+MOST_SENT = 200_000
+_SALTS = 32
 
 
-def renames(df: DataFrame, files: DataFrame, changes: DataFrame, row: str = "row_id", file: str = "file", key: str = "k", value: str = "v") -> DataFrame:
+def renames(df: DataFrame, files: DataFrame, changes: DataFrame, row: str = "row_id", file: str = "file", key: str = "k", value: str = "v", most_sent: int = MOST_SENT) -> DataFrame:
     """``feed, file_no, old_path, new_path``: removed and added paths of equal values.
 
     For documents whose key is in both files, the list of values at the old
     path is compared with that at the new one. The first row of a re-sent
     key that holds the path counts. A path is renamed once: the best pair is
-    taken, then the best of the paths left, until none is.
+    taken, then the best of the paths left, until none is. Only documents of
+    the files around such changes are read.
     """
     lone = changes.where("drift_kind IN ('added', 'removed')").select("feed", F.col("file_no").alias("at_no"), "path", (F.col("drift_kind") == "removed").alias("old"), _parent(F.col("path")).alias("parent"))
-    olds, news = lone.where("old"), lone.where("NOT old")
-    where = ["feed", "at_no", "parent"]
-    needed = olds.join(news, where, "left_semi").unionAll(news.join(olds, where, "left_semi"))
+    both_kinds = lone.groupBy("feed", "at_no", "parent").agg(F.collect_list(F.struct("path", "old")).alias("own"), F.max("old").alias("gone"), F.min("old").alias("all_gone")).where("gone AND NOT all_gone")
+    needed = both_kinds.select("feed", "at_no", F.explode("own").alias("own")).select("feed", "at_no", "own.path", "own.old")
     by_file = (
         needed.withColumn("file_no", F.col("at_no") - F.col("old").cast("int"))
         .join(files.select("feed", F.col("file_no").cast("long").alias("file_no"), "file"), ["feed", "file_no"])
         .groupBy("file")
         .agg(F.collect_list(F.struct("feed", "at_no", "path", "old")).alias("wanted"))
     )
+    by_file = staged(by_file, "wanted")
     picked = df.select(F.col(row).cast("long").alias("row_no"), F.col(file).cast("string").alias("file"), F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v")).where("v IS NOT NULL AND k IS NOT NULL")
-    held = picked.join(by_file, "file").mapInPandas(_values_at, "feed string, at_no long, path string, old boolean, k string, row_no long, held binary")
-    first = held.groupBy("feed", "at_no", "path", "old", "k").agg(F.min_by("held", "row_no").alias("held")).withColumn("parent", _parent(F.col("path")))
+    if (by_file.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= most_sent:
+        wanted = picked.join(F.broadcast(by_file), "file")
+    else:  # a file may hold a third of all rows
+        salted = by_file.select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+        wanted = picked.withColumn("salt", F.pmod(F.xxhash64("k", "row_no"), F.lit(_SALTS)).cast("int")).join(salted, ["file", "salt"])
+    held = wanted.mapInPandas(_values_at, "feed string, at_no long, path string, old boolean, k string, row_no long, held binary").withColumn("parent", _parent(F.col("path")))
     # both sides of a key meet in one group: as many rows as there are changed paths under one parent
+    where = ["feed", "at_no", "parent", "k"]
+    first = held.repartition(*where).groupBy(*where, "path", "old").agg(F.min_by("held", "row_no").alias("held"))
     side = F.struct("path", "held")
-    meeting = first.groupBy("feed", "at_no", "parent", "k").agg(F.collect_list(F.when(F.col("old"), side)).alias("olds"), F.collect_list(F.when(~F.col("old"), side)).alias("news"))
+    meeting = first.groupBy(*where).agg(F.collect_list(F.when(F.col("old"), side)).alias("olds"), F.collect_list(F.when(~F.col("old"), side)).alias("news"))
     lines = meeting.where(F.size("news") > 0).select("feed", "at_no", "k", F.explode("olds").alias("o"), "news").select("feed", "at_no", "k", "o", F.explode("news").alias("n"))
     pairs = (
         lines.groupBy("feed", "at_no", F.col("o.path").alias("old_path"), F.col("n.path").alias("new_path"))
         .agg(F.count("*").alias("both"), F.count_if(F.col("o.held") == F.col("n.held")).alias("same"))
         .where((F.col("both") >= RENAME_KEYS) & (F.col("same") >= RENAME_SHARE * F.col("both")))
     )
-    return pairs.groupBy("feed", "at_no").applyInPandas(_one_partner_each, "feed string, file_no long, old_path string, new_path string")
+    # as many pairs as one file has changed paths
+    of_file = pairs.groupBy("feed", "at_no").agg(F.collect_list(F.struct("old_path", "new_path", "both", "same")).alias("pairs"))
+    return of_file.mapInPandas(_one_partner_each, "feed string, file_no long, old_path string, new_path string")
 
 
 def schema_drift(df: DataFrame, files: DataFrame, row: str = "row_id", file: str = "file", key: str = "k", value: str = "v", catalogue: DataFrame | None = None) -> DataFrame:
@@ -250,8 +264,8 @@ def schema_drift(df: DataFrame, files: DataFrame, row: str = "row_id", file: str
     changes = staged(path_changes(catalogue), "changes")
     renamed = staged(renames(df, files, changes, row, file, key, value), "renames")
     empty = F.lit("")
-    gone = changes.join(renamed.select("feed", "file_no", F.lit("removed").alias("drift_kind"), F.col("old_path").alias("path")), ["feed", "file_no", "drift_kind", "path"], "left_anti")
-    left = gone.join(renamed.select("feed", "file_no", F.lit("added").alias("drift_kind"), F.col("new_path").alias("path")), ["feed", "file_no", "drift_kind", "path"], "left_anti")
+    paired = F.stack(F.lit(2), F.lit("removed"), F.col("old_path"), F.lit("added"), F.col("new_path")).alias("drift_kind", "path")
+    left = changes.join(renamed.select("feed", "file_no", paired), ["feed", "file_no", "drift_kind", "path"], "left_anti")
     plain = left.select(
         "feed",
         "file_no",
