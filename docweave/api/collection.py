@@ -198,6 +198,9 @@ class Collection:
 
     # -- updating -------------------------------------------------------
 
+    def _version(self):
+        return self._store.version(self.database.name, self.name)
+
     def _first_match(self, filter: dict, sort=None) -> int | None:
         pairs = sort_pairs(sort) if sort else []
         rows = frames.matching(self.frame(), filter, pairs, self.compat)
@@ -208,6 +211,7 @@ class Collection:
         """Apply an update to all matches, or to one row; (matched, modified)."""
         from docweave.session import staged
 
+        base = self._version()
         whole = not isinstance(self._store, SnapshotStore)
         own = self.frame() if only is None or whole else self._store.load(self.database.name, self.name, [only])
         done = staged(frames.updated(own, filter, update, only, self.compat), "update")
@@ -216,7 +220,7 @@ class Collection:
             kind, message, code = json.loads(sums.error)
             raise _ERRORS.get(kind, OperationFailure)(message, code)
         if sums.m:
-            self._store.rewrite(self.database.name, self.name, done.select("seq", "id_key", "doc"), done.where("modified").select("seq"))
+            self._store.rewrite(self.database.name, self.name, done.select("seq", "id_key", "doc"), done.where("modified").select("seq"), base)
         return sums.n, sums.m
 
     def _upsert(self, filter: dict, update) -> Any:
@@ -322,11 +326,12 @@ class Collection:
     def delete_one(self, filter, **_) -> DeleteResult:
         if not isinstance(filter, dict):
             raise TypeError("a filter is a dict")
+        base = self._version()
         first = self._first_match(filter)
         if first is None:
             return DeleteResult(0)
         gone = self._store.spark.createDataFrame([(first,)], "seq long")
-        self._store.rewrite(self.database.name, self.name, self.frame().where(F.col("seq") != first), gone)
+        self._store.rewrite(self.database.name, self.name, self.frame().where(F.col("seq") != first), gone, base)
         return DeleteResult(1)
 
     def delete_many(self, filter, **_) -> DeleteResult:
@@ -334,10 +339,11 @@ class Collection:
             raise TypeError("a filter is a dict")
         from docweave.session import staged
 
+        base = self._version()
         gone = staged(frames.matching(self.frame(), filter, compat=self.compat).select("seq"), "delete")
         n = gone.count()
         if n:
-            self._store.rewrite(self.database.name, self.name, self.frame().join(gone, "seq", "left_anti"), gone)
+            self._store.rewrite(self.database.name, self.name, self.frame().join(gone, "seq", "left_anti"), gone, base)
         return DeleteResult(n)
 
     def drop(self) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,18 +40,42 @@ class Files:
         fs.delete(p, True)
 
     def read_text(self, path: str) -> str:
-        return self.spark.read.text(path, wholetext=True).first()[0]
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
-    def write_text(self, path: str, text: str) -> None:
-        """Write beside ``path`` and rename, so that readers never see a part."""
+    def create_text(self, path: str, text: str) -> bool:
+        """Write a file that isn't there yet; False if another writer was first."""
         fs, p = self._at(path)
-        temporary = self._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-        out = fs.create(temporary, True)
+        if fs.getScheme() == "file":  # there, Hadoop looks and creates in two steps
+            local = p.toUri().getPath()
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            try:
+                handle = os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
+            except FileExistsError:
+                return False
+            with os.fdopen(handle, "wb") as out:
+                out.write(text.encode())
+            return True
+        if fs.exists(p):
+            return False
+        try:
+            out = fs.create(p, False)
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(temporary, p)
+        return True
+
+    def modified(self, path: str) -> float:
+        """When ``path`` was written, in seconds."""
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime() / 1000
 
     def read_bytes(self, path: str) -> bytes:
         return bytes(self.spark.read.format("binaryFile").load(path).select("content").first()[0])
