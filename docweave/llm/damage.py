@@ -78,6 +78,14 @@ def skeleton(word: str) -> str:
     return word
 
 
+def run_together(a: str, b: str) -> str:
+    """The skeleton of two words without the blank between them, from their skeletons."""
+    word = a + b
+    for pair, one in _PAIRS:
+        word = word.replace(pair, one)
+    return word
+
+
 def near(a: str, b: str) -> bool:
     """At most one edit apart (two in words of nine or more letters).
 
@@ -124,8 +132,6 @@ class NearWords:
         return {"<" + word[:3], word[-3:] + ">", f"{word[half - 1:half + 2]}={half}"}
 
     def near(self, word: str) -> list[int]:
-        if len(word) > 64:
-            return []
         keys = self._keys(word)
         if len(word) >= 6:
             half = len(word) // 2

@@ -3,8 +3,10 @@
 The corpus is indexed in segments: for each term of a segment the sorted
 positions of its occurrences, in one row. A search reads the postings of the
 terms of the evaluation items (and of terms that are misreadings of them),
-intersects the offset-adjusted lists from the rarest terms, and keeps the
-runs in which a document repeats an item word for word.
+intersects the offset-adjusted lists of the rarest terms, and keeps the
+runs in which a document repeats an item word for word. A run may go on over
+a short word with a misread letter, over two words run together and over a
+word split in two, at the same or at a neighbouring offset.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.damage import NearWords, looks_damaged, repaired, skeleton
+from docweave.llm.damage import NearWords, looks_damaged, repaired, run_together, skeleton
 from docweave.session import small_rows, staged
 
 #: Tokens of a segment, and those shared by neighbouring parts of a longer document.
@@ -28,6 +31,10 @@ SEGMENT_TOKENS, OVERLAP = 1_000_000, 128
 _GAP = 8
 #: Runs of an item's words that count as a leak. Word runs of a real leak are at least 12 long, chance ones at most 6.
 LEAST_WORDS = 10
+#: Anchors are the two rarest terms of each window of so many words: a passage of twelve words, one misread or two run together, holds such a window whole.
+WINDOW = 5
+#: Words that a run may pass over, each between pieces of two words or more.
+MOST_BRIDGES = 2
 
 _WORD = re.compile(r"[\w|\ufffd]+(?:\?[\w|\ufffd]+)*")
 _TIMES = re.compile(r"(?:(?<=\n)|\A)(?:[^\n]{0,8}\n)?[^\n]{5,20}-{1,2}>[^\n]*")
@@ -102,7 +109,9 @@ class _Segment:
 
 def _index(segment_tokens: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment = None
+        segment, made = None, 0
+        task = TaskContext.get()
+        task = task.partitionId() if task else 0
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 if text is None:
@@ -111,7 +120,7 @@ def _index(segment_tokens: int):
                 for at in range(0, max(len(tokens) - OVERLAP, 1), segment_tokens - OVERLAP):
                     part = tokens[at : at + segment_tokens]
                     if segment is None:
-                        segment = _Segment(f"{doc}-{at}")
+                        segment, made = _Segment(f"{task}-{made}"), made + 1
                     segment.add(int(doc), part)
                     if segment.size >= segment_tokens:
                         yield segment.rows()
@@ -131,9 +140,22 @@ class CorpusIndex:
     postings, empty ones none but a place in the list.
     """
 
-    def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", segment_tokens: int = SEGMENT_TOKENS):
-        picked = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
-        self.postings = staged(picked.mapInPandas(_index(segment_tokens), _SCHEMA), "postings")
+    def __init__(self, docs: DataFrame | None, doc: str = "doc_id", text: str = "text", segment_tokens: int = SEGMENT_TOKENS, postings: DataFrame | None = None):
+        if segment_tokens <= OVERLAP:
+            raise ValueError(f"a segment takes more than {OVERLAP} tokens")
+        if postings is None:
+            picked = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
+            postings = staged(picked.mapInPandas(_index(segment_tokens), _SCHEMA), "postings")
+        self.postings = postings
+
+    def save(self, path: str) -> None:
+        """Keep the index at ``path``, for other searches and sessions."""
+        self.postings.write.option("compression", "zstd").parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> CorpusIndex:
+        """An index that was saved; the documents aren't needed."""
+        return cls(None, postings=spark.read.schema(_SCHEMA).parquet(path))
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
         """Occurrences of ``terms`` in the whole corpus."""
@@ -161,11 +183,10 @@ class _Items:
             self.word_of.append(np.array(word_of, np.int64))
         self.anchors: list[np.ndarray] = [np.arange(len(t)) for t in self.terms]
 
-    def choose_anchors(self, frequency: dict[str, int], window: int = LEAST_WORDS, per_window: int = 1) -> None:
+    def choose_anchors(self, frequency: dict[str, int], window: int = WINDOW, per_window: int = 2) -> None:
         """The rarest terms of each window of words, by position in the item.
 
-        A run of ``window`` words is one whole window at least, so one anchor
-        for each loses none.
+        A run that holds a whole window meets all its anchors.
         """
         counts = np.array([frequency.get(w, 0) for w in self.vocabulary], np.int64)
         for at, terms in enumerate(self.terms):
@@ -175,14 +196,46 @@ class _Items:
                 chosen.update((start + np.argsort(n[start : start + window], kind="stable")[:per_window]).tolist())
             self.anchors[at] = np.array(sorted(chosen), np.int64)
 
+    def by_term(self) -> dict[int, list[tuple[int, int]]]:
+        """The (item, position) of the anchors that each term is."""
+        held: dict[int, list[tuple[int, int]]] = {}
+        for item, anchors in enumerate(self.anchors):
+            for j in anchors.tolist():
+                held.setdefault(int(self.terms[item][j]), []).append((item, j))
+        return held
+
+
+class _Broken:
+    """Terms that may be broken forms of item words: one letter of a short word misread, words run together or split."""
+
+    def __init__(self, items: _Items):
+        names = list(items.vocabulary)
+        self.short = {k for w in names if len(w) <= 4 and not _DIGIT.search(w) for k in _wildcards(w)}
+        self.joined = {run_together(names[a], names[b]) for terms in items.terms for a, b in zip(terms.tolist(), terms[1:].tolist())}
+        self.pieces = {p for w in names if len(w) >= 3 for i in range(1, len(w)) for p in (w[:i], w[i:])}
+
+    def __contains__(self, term: str) -> bool:
+        return term in self.pieces or term in self.joined or len(term) <= 4 and any(k in self.short for k in _wildcards(term))
 
-def _relevant(words_: list[str]):
-    """Keeps the postings of item terms and of terms near them."""
+
+_DIGIT = re.compile(r"[0-9]")
+
+
+def _wildcards(word: str) -> Iterator[str]:
+    for i in range(len(word)):
+        yield f"{word[:i]}*{word[i + 1:]}"
+        yield f"{word[:i]}*{word[i:]}"
+    yield f"{word}*"
+
+
+def _relevant(items: _Items):
+    """Keeps the postings of item terms, of terms near them, and of broken ones (without a match of their own)."""
+    words_ = list(items.vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = {w: n for n, w in enumerate(words_)}
-        near = NearWords(words_)
-        memo: dict[str, list[int]] = {}
+        near, broken = NearWords(words_), _Broken(items)
+        memo: dict[str, list[int] | None] = {}
         for batch in batches:
             matches = []
             for term in batch["term"]:
@@ -194,8 +247,8 @@ def _relevant(words_: list[str]):
                     if term not in memo:
                         if len(memo) > 500_000:
                             memo.clear()
-                        memo[term] = near.near(term)
-                    matches.append(memo[term] or None)
+                        memo[term] = near.near(term) or ([] if term in broken else None)
+                    matches.append(memo[term])
             yield batch.assign(matches=matches)[[m is not None for m in matches]]
 
     return run
@@ -211,49 +264,116 @@ def _runs(hit: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(rows.tolist(), starts.tolist(), ends.tolist())
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether two words without figures are one letter apart."""
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 2 or _DIGIT.search(a + b):
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+#: How a run may go on: words of the item passed over, and by how much the offset moves (one word misread, two run together, one split).
+_BRIDGES = ((1, 0), (2, -1), (1, 1))
+
+
+def _chain(pieces: list[tuple[int, int, int]], passable) -> list[tuple[int, int, int]]:
+    """The pieces (start, end, offset) of the longest run with at most ``MOST_BRIDGES`` bridges."""
+    pieces = sorted(pieces)
+    by_start: dict[tuple[int, int], list[int]] = {}
+    for n, (a, _, d) in enumerate(pieces):
+        by_start.setdefault((a, d), []).append(n)
+    best: tuple[int, list] = (0, [])
+    held: dict[tuple[int, int], tuple[int, list]] = {}
+    for n, (a, b, d) in enumerate(pieces):
+        for bridges in range(MOST_BRIDGES + 1):
+            own = held.get((n, bridges)) if bridges else None
+            if bridges == 0:
+                own = (b - a, [(a, b, d)])
+            if own is None:
+                continue
+            best = max(best, own, key=lambda c: c[0])
+            if bridges < MOST_BRIDGES:
+                for gap, move in _BRIDGES:
+                    for m in by_start.get((b + gap, d + move), ()):
+                        if passable(b, gap, d, move):
+                            c, e, f = pieces[m]
+                            longer = (own[0] + gap + e - c, [*own[1], (c, e, f)])
+                            held[m, bridges + 1] = max(held.get((m, bridges + 1), (0, [])), longer, key=lambda c: c[0])
+    return best[1]
+
+
 def _search(items: _Items, least_words: int):
-    n_terms = len(items.vocabulary)
+    n_terms, by_term, names = len(items.vocabulary), items.by_term(), list(items.vocabulary)
 
     def run(segment: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "item_id", "n_words", "item_start"]
         head = segment[segment["term"].isna()].iloc[0]
         ids, starts = np.frombuffer(zlib.decompress(head["positions"]), "<i8").reshape(2, -1)
         size = int(head["n"])
-        longest = max((len(t) for t in items.terms), default=0)
-        at = np.full(size + 2 * longest + 2, -1, np.int64)  # shifted by ``longest``
+        margin = max((len(t) for t in items.terms), default=0) + 2 * MOST_BRIDGES + 2
+        at = np.full(size + 2 * margin, -1, np.int64)  # shifted by ``margin``
+        written: list[str | None] = segment["term"].tolist()
         lists: dict[int, list[np.ndarray]] = {}
         allowed = []
-        for n, (term, data, matches) in enumerate(zip(segment["term"], segment["positions"], segment["matches"])):
+        for n, (term, data, matches) in enumerate(zip(written, segment["positions"], segment["matches"])):
             if term is None:
                 continue
             places = _unpacked(data)
-            at[places + longest] = n
+            at[places + margin] = n
             for m in matches:
                 lists.setdefault(int(m), []).append(places)
                 allowed.append(n * n_terms + int(m))
         allowed = np.array(sorted(allowed), np.int64)
+        shifted: dict[int, list[np.ndarray]] = {}
+        for m, own in lists.items():  # from the terms that the segment has to the items
+            for item, j in by_term.get(m, ()):
+                shifted.setdefault(item, []).extend(p - j for p in own)
+
+        def hits(item: int, diagonals: np.ndarray) -> np.ndarray:
+            terms = items.terms[item]
+            there = at[(diagonals[:, None] + np.arange(len(terms)) + margin).clip(0, len(at) - 1)]
+            keys = there * n_terms + terms
+            near = np.searchsorted(allowed, keys)
+            return (there >= 0) & (allowed[np.minimum(near, len(allowed) - 1)] == keys)
+
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for item, terms in enumerate(items.terms):
-            if not len(terms):
-                continue
-            shifted = [p - j for j in items.anchors[item].tolist() for p in lists.get(int(terms[j]), ())]
-            if not shifted:
-                continue
-            diagonals = np.unique(np.concatenate(shifted))
-            span = np.arange(len(terms))
+        for item, own in shifted.items():
+            terms, word_of = items.terms[item], items.word_of[item]
+            diagonals, meet = np.unique(np.concatenate(own), return_counts=True)
+            if len(items.anchors[item]) > 1:  # the lists intersect
+                diagonals = diagonals[meet > 1]
+
+            def passable(b: int, gap: int, d: int, move: int) -> bool:
+                numbers = [at[min(max(d + b + n + margin, 0), len(at) - 1)] for n in range(gap + move)]
+                if min(numbers) < 0:
+                    return False
+                held, asked = [written[n] for n in numbers], [names[t] for t in terms[b : b + gap]]
+                if len(held) == len(asked):
+                    return _one_edit(held[0], asked[0])
+                return run_together(*held) == asked[0] if len(held) > 1 else held[0] == run_together(*asked)
+
+            def keep(pieces: list[tuple[int, int, int]]) -> None:
+                a, _, d = pieces[0]
+                count = int(word_of[pieces[-1][1] - 1] - word_of[a] + 1)
+                if count >= least_words:
+                    key = (int(ids[np.searchsorted(starts, d + a, side="right") - 1]), items.ids[item])
+                    found[key] = max(found.get(key, (0, 0)), (count, a))
+
             for block in range(0, len(diagonals), 20_000):
-                own = diagonals[block : block + 20_000]
-                there = at[np.maximum(own[:, None] + span + longest, 0).clip(max=len(at) - 1)]
-                keys = there * n_terms + terms
-                near = np.searchsorted(allowed, keys)
-                hit = (there >= 0) & (allowed[np.minimum(near, len(allowed) - 1)] == keys)
-                word_of = items.word_of[item]
-                for row, a, b in _runs(hit):
-                    count = int(word_of[b - 1] - word_of[a] + 1)
-                    if count >= least_words:
-                        doc = int(ids[np.searchsorted(starts, own[row] + a, side="right") - 1])
-                        key = (doc, items.ids[item])
-                        found[key] = max(found.get(key, (0, 0)), (count, a))
+                part = diagonals[block : block + 20_000]
+                seeds = set()
+                for row, a, b in _runs(hits(item, part)):
+                    if word_of[b - 1] - word_of[a] + 1 >= least_words:
+                        keep([(a, b, int(part[row]))])
+                    elif b - a >= 3:
+                        seeds.add(int(part[row]))
+                for seed in seeds:
+                    around = seed + np.arange(-MOST_BRIDGES, MOST_BRIDGES + 1)
+                    pieces = [(a, b, int(around[row])) for row, a, b in _runs(hits(item, around)) if b - a >= 2]
+                    if len(pieces) > 1:
+                        keep(_chain(pieces, passable))
         return pd.DataFrame([(d, i, n, a) for (d, i), (n, a) in found.items()], columns=columns)
 
     return run
@@ -295,44 +415,61 @@ def _proximity(items: _Items, least_share: float, spread: float):
     return run
 
 
-def _prepared(index: CorpusIndex, items: DataFrame, item: str, text: str, window: int, limit: int) -> tuple[_Items, list[str]]:
-    rows = small_rows(items.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL"), limit, "the set of items")
+def _prepared(index: CorpusIndex, rows: list, window: int, per_window: int) -> _Items:
     held = _Items([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id, r.text))])
-    vocabulary = list(held.vocabulary) or ["\x00"]
-    held.choose_anchors(index.frequencies(vocabulary), window=window)
-    return held, vocabulary
+    held.choose_anchors(index.frequencies(list(held.vocabulary)), window, per_window)
+    return held
+
+
+def _in_blocks(items: DataFrame, item: str, text: str, block_items: int) -> Iterator[list]:
+    """The stated query set in blocks that fit every task."""
+    asked = items.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
+    blocks = max(1, -(-asked.count() // block_items))
+    for n in range(blocks):
+        rows = small_rows(asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n), 2 * block_items + 1000, "a block of items")
+        if rows:
+            yield rows
+
+
+def _searched(index: CorpusIndex, items: DataFrame, item: str, text: str, block_items: int, window: int, per_window: int, search, ddl: str) -> DataFrame:
+    """The pairs that ``search`` finds in the segments, of all blocks of items."""
+    found = None
+    for rows in _in_blocks(items, item, text, block_items):
+        held = _prepared(index, rows, window, per_window)
+        relevant = index.postings.mapInPandas(_relevant(held), _SCHEMA + ", matches array<int>")
+        pairs = relevant.groupBy("segment").applyInPandas(search(held), ddl)
+        found = pairs if found is None else found.unionAll(pairs)
+    return index.postings.sparkSession.createDataFrame([], ddl) if found is None else found
 
 
-def near_items(index: CorpusIndex, items: DataFrame, item: str = "item_id", text: str = "text", least_share: float = 0.8, spread: float = 1.5, limit: int = 200_000) -> DataFrame:
+def near_items(index: CorpusIndex, items: DataFrame, item: str = "item_id", text: str = "text", least_share: float = 0.8, spread: float = 1.5, block_items: int = 50_000) -> DataFrame:
     """``doc_id, item_id, n_terms, of_terms``: documents that reword or reorder an item.
 
     A window ``spread`` times as long as the item holds at least
     ``least_share`` of the item's rarest terms (one for each window of its
     words), in any order.
     """
-    held, vocabulary = _prepared(index, items, item, text, LEAST_WORDS, limit)
-    relevant = index.postings.mapInPandas(_relevant(vocabulary), _SCHEMA + ", matches array<int>")
-    pairs = relevant.groupBy("segment").applyInPandas(_proximity(held, least_share, spread), "doc_id long, item_id long, n_terms int, of_terms int")
+    pairs = _searched(index, items, item, text, block_items, LEAST_WORDS, 1, lambda held: _proximity(held, least_share, spread), "doc_id long, item_id long, n_terms int, of_terms int")
     return pairs.groupBy("doc_id", "item_id").agg(F.max("n_terms").alias("n_terms"), F.max("of_terms").alias("of_terms"))
 
 
-def search_items(index: CorpusIndex, items: DataFrame, item: str = "item_id", text: str = "text", least_words: int = LEAST_WORDS, limit: int = 200_000) -> DataFrame:
+def search_items(index: CorpusIndex, items: DataFrame, item: str = "item_id", text: str = "text", least_words: int = LEAST_WORDS, block_items: int = 50_000) -> DataFrame:
     """``doc_id, item_id, n_words, item_start``: the longest run of each pair.
 
-    The items are the stated query set; they go to every task and may be at
-    most ``limit``. Items without words match nothing.
+    The items are the stated query set; they go to every task, in blocks of
+    about ``block_items`` if there are more. Items without words match
+    nothing.
     """
-    held, vocabulary = _prepared(index, items, item, text, least_words, limit)
-    relevant = index.postings.mapInPandas(_relevant(vocabulary), _SCHEMA + ", matches array<int>")
-    pairs = relevant.groupBy("segment").applyInPandas(_search(held, least_words), "doc_id long, item_id long, n_words int, item_start int")
-    return pairs.groupBy("doc_id", "item_id").agg(F.max_by("n_words", "n_words").alias("n_words"), F.max_by("item_start", "n_words").alias("item_start"))
+    pairs = _searched(index, items, item, text, block_items, WINDOW, 2, lambda held: _search(held, least_words), "doc_id long, item_id long, n_words int, item_start int")
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max_by("item_start", "n_words").alias("item_start"))
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id``: the documents that hold a passage of an item.
 
     Words are compared without case, punctuation, accents and line breaks,
-    and up to the misreadings of scanners and wrong encodings; cue numbers,
+    and up to the misreadings of scanners and wrong encodings; up to two
+    times a short word may be misread, or words run together or split; cue numbers,
     time lines, tags, speaker labels and sound descriptions are passed over.
     Null and empty texts hold nothing; documents longer than a segment are
     indexed in overlapping parts; a repeated ``doc_id`` is reported once.

@@ -37,6 +37,60 @@ def test_found_in_all_guises(spark, text):
     assert search(spark, [(5, OTHER + "\n" + text + "\n" + OTHER)]) == [(5, 1)]
 
 
+SHORT = "alpha bravo charlie delta echo foxtrot not golf hotel india juliet kilo"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        SHORT, SHORT.replace("foxtrot", "foxtrat"), SHORT.replace("not", "nat"), SHORT.replace("not", "net"), SHORT.replace("foxtrot not", "foxtrotnot"), SHORT.replace("hotel", "hot el"), SHORT.replace("not", "nt"), SHORT.replace("alpha bravo", "alphabravo").replace("india", "in dia"),
+    ],
+)
+def test_passages_with_a_word_lost(spark, text):
+    assert search(spark, [(5, OTHER + "\n" + text + "\n" + OTHER), (6, cues(OTHER + " " + text, 4))], [(1, SHORT), (2, ITEM)]) == [(5, 1), (6, 1)]
+
+
+@pytest.mark.parametrize("text", ["alpha bravo charlie delta echo foxtrot or golf two three", "alpha bravo charlie and echo foxtrot not and hotel india juliet and", "alpha bravo charlie delta echo foxtrot one two three golf hotel india juliet kilo", SHORT.replace("golf", "oxen"), SHORT.replace("foxtrot", "tango")])
+def test_runs_too_short_or_too_far_apart(spark, text):
+    assert search(spark, [(5, OTHER + " " + text + " " + OTHER)], [(1, SHORT)]) == []
+
+
+def test_recall_on_planted_passages():
+    """Passages of 12 to 20 words with up to two misread letters and, in half of them, a blank lost or added."""
+    rng = random.Random(3)
+    bag = ("whistle nobody harbour before snow falls old tram depot lantern quay not the of and rope mill seven coal river bell over under night keeper gull salt wind shed wharf cargo chart moor tide lock barge clerk it we go on by").split()
+    items = [(n, " ".join(rng.choices(bag, k=26))) for n in range(20)]
+    docs, expected = [], set()
+    for d in range(400):
+        i, n = rng.randrange(20), rng.randint(12, 20)
+        start = rng.randrange(26 - n + 1)
+        words = items[i][1].split()[start : start + n]
+        for _ in range(rng.randint(0, 2)):
+            w = rng.randrange(n)
+            c = rng.randrange(len(words[w]))
+            words[w] = words[w][:c] + rng.choice("aeioubdz") + words[w][c + 1 :]
+        at = rng.randint(1, n - 2)
+        words[at : at + 2] = rng.choice([words[at : at + 2], words[at : at + 2], ["".join(words[at : at + 2])], [words[at][:2], words[at][2:], words[at + 1]]])
+        docs.append((d, " ".join([f"x{rng.randrange(900)}" for _ in range(30)] + words + [f"y{rng.randrange(900)}" for _ in range(30)])))
+        expected.add((d, i))
+    got = search_local(docs, items, 10_000)
+    hit = len(got & expected) / len(expected)
+    assert hit >= 0.95 and len(got - expected) <= 4, (hit, got - expected)
+
+
+def test_saved_index_and_blocks_of_items(spark, tmp_path):
+    docs = spark.createDataFrame([(n, part(n % 9, 13) if n % 2 else OTHER) for n in range(20)] + [(3, OTHER)] * 3, "doc_id long, text string").repartition(3)
+    path = f"file://{tmp_path}/index"
+    leaks.CorpusIndex(docs, segment_tokens=130).save(path)
+    index = leaks.CorpusIndex.open(spark, path)
+    items = spark.createDataFrame([(1, ITEM), (2, SHORT), (3, OTHER), (1, ITEM)], "item_id long, text string")
+    expected = sorted([(n, 1) for n in range(1, 20, 2)] + [(n, 3) for n in range(0, 20, 2)] + [(3, 3)])
+    for size in (1, 50_000):
+        assert sorted((r.doc_id, r.item_id) for r in leaks.search_items(index, items, block_items=size).collect()) == expected
+    heads = index.postings.where("term IS NULL").select("segment").collect()
+    assert len(heads) == len({r.segment for r in heads}) > 3
+
+
 @pytest.mark.parametrize("text", [None, "", OTHER, part(3, 6), part(3, 6) + " something else " + part(9, 6), ITEM.replace("the", "one").replace("of", "at").replace("1971", "1981").replace("190", "191").replace("along", "near").replace("measured", "saw"), part(8, 6) + " " + part(2, 6)])
 def test_not_found(spark, text):
     assert search(spark, [(5, text)]) == []
@@ -88,7 +142,7 @@ def search_local(docs, items, size):
     frame = pd.DataFrame(docs, columns=["doc_id", "text"])
     out = set()
     for segment in leaks._index(size)(iter([frame])):
-        relevant = pd.concat(leaks._relevant(list(held.vocabulary))(iter([segment])))
+        relevant = pd.concat(leaks._relevant(held)(iter([segment])))
         out |= {(r.doc_id, r.item_id) for r in leaks._search(held, leaks.LEAST_WORDS)(relevant).itertuples()}
     return out
 
