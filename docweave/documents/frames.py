@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.compat import DEFAULT, CompatProfile
 from docweave.documents.match import compile_filter
+from docweave.documents.prefilter import candidates, judged
 from docweave.documents.project import Projection, compile_projection
 from docweave.documents.update import Update, Updater
 from docweave.documents.walk import MISSING, values, walk
@@ -39,11 +40,22 @@ def read_document(text: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def _is_json(text: str) -> bool:
+    """Whether a text that begins like an object is one JSON value."""
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def matching(frame: DataFrame, spec: dict | None, sort: list[tuple[str, int]] | None = None, compat: CompatProfile = DEFAULT) -> DataFrame:
     """Rows that match, with ``hit`` (array positions, JSON) and sort keys ``s0``, ``s1``, ...
 
     An ``_id`` equality is checked on the key column first, where the file
-    statistics can skip whole row groups.
+    statistics can skip whole row groups. What expressions can settle is
+    settled before documents are read in Python; of those that surely match
+    only the syntax is checked there.
     """
     tree = S.parse_filter(spec, compat)
     sort = sort or []
@@ -59,19 +71,24 @@ def matching(frame: DataFrame, spec: dict | None, sort: list[tuple[str, int]] |
         holds = compile_filter(tree, compat)
         for batch in batches:
             keep, hits, keys = [], [], [[] for _ in sort]
-            for n, text in enumerate(batch["doc"]):
+            for n, (text, sure) in enumerate(zip(batch["doc"], batch["sure"])):
+                if sure and not sort:
+                    if _is_json(text):
+                        keep.append(n)
+                        hits.append(None)
+                    continue
                 doc, hit = read_document(text), {}
-                if doc is not None and holds(doc, hit):
+                if doc is not None and (sure or holds(doc, hit)):
                     keep.append(n)
                     hits.append(json.dumps(hit) if hit else None)
                     for at, (path, direction) in enumerate(sort):
                         keys[at].append(path_key(doc, path, direction))
-            out = batch.iloc[keep].assign(hit=pd.Series(hits, dtype=object, index=batch.index[keep]))
+            out = batch.iloc[keep].drop(columns="sure").assign(hit=pd.Series(hits, dtype=object, index=batch.index[keep]))
             for name, column in zip(columns, keys):
                 out[name] = pd.Series(column, dtype=object, index=out.index)
             yield out
 
-    return frame.select("seq", "id_key", "doc").mapInPandas(run, ", ".join([ROWS, "hit string", *(f"{c} binary" for c in columns)]))
+    return candidates(frame.select("seq", "id_key", "doc"), tree).mapInPandas(run, ", ".join([ROWS, "hit string", *(f"{c} binary" for c in columns)]))
 
 
 def path_key(doc: dict, path: str, direction: int) -> bytes:
@@ -119,14 +136,14 @@ def distinct_values(frame: DataFrame, path: str, spec: dict | None, compat: Comp
         holds = compile_filter(tree, compat)
         for batch in batches:
             seen: dict[bytes, str] = {}
-            for text in batch["doc"]:
+            for text, sure in zip(batch["doc"], batch["sure"]):
                 doc = read_document(text)
-                if doc is not None and holds(doc, {}):
+                if doc is not None and (sure or holds(doc, {})):
                     for v, _ in values(walk(doc, path), pack=False):
                         seen.setdefault(sort_key(v), ejson.dumps({"v": v}))
             yield pd.DataFrame(list(seen.items()), columns=["key", "value"])
 
-    found = frame.select("doc").mapInPandas(run, "key binary, value string")
+    found = candidates(frame.select("doc"), tree).mapInPandas(run, "key binary, value string")
     return found.groupBy("key").agg(F.min("value").alias("value")).orderBy("key")
 
 
@@ -142,9 +159,9 @@ def updated(frame: DataFrame, spec: dict | None, update: Update | dict, only_seq
         updater = Updater(update) if isinstance(update, Update) else None
         for batch in batches:
             docs, matched, modified, errors = [], [], [], []
-            for seq, text in zip(batch["seq"], batch["doc"]):
+            for seq, text, sure in zip(batch["seq"], batch["doc"], batch["sure"]):
                 hit: dict = {}
-                if only_seq is not None and seq != only_seq:
+                if sure is False or only_seq is not None and seq != only_seq:
                     found = False
                 else:
                     doc = ejson.loads(text)
@@ -164,4 +181,4 @@ def updated(frame: DataFrame, spec: dict | None, update: Update | dict, only_seq
                 errors.append(error)
             yield batch[["seq", "id_key"]].assign(doc=docs, matched=matched, modified=modified, error=errors)
 
-    return frame.select("seq", "id_key", "doc").mapInPandas(run, ROWS + ", matched boolean, modified boolean, error string")
+    return judged(frame.select("seq", "id_key", "doc"), tree).mapInPandas(run, ROWS + ", matched boolean, modified boolean, error string")

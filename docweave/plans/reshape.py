@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import types as T
 
 from docweave.compat import DEFAULT, CompatProfile
 from docweave.documents.project import Projection
-from docweave.documents.update import Update
+from docweave.documents.update import Update, Updater
 from docweave.errors import OperationFailure, WriteError
 from docweave.plans import spec as S
-from docweave.plans.typed import _FLOATS, _INTEGERS, Typed, compare, field_of, literal, type_class, value_class
+from docweave.plans.spec import equalities
+from docweave.plans.typed import _FLOATS, _INTEGERS, Typed, compare, field_of, find, literal, type_class, value_class
 
 # --- projections -----------------------------------------------------------
 
@@ -400,10 +402,12 @@ def _never_none(col: Column | None) -> Column:
     return F.lit(False) if col is None else col
 
 
-def update_rows(df: DataFrame, filter: dict | None, update: dict, array_filters: list | None = None, compat: CompatProfile = DEFAULT, now: datetime | None = None) -> DataFrame:
-    """The whole table after an update of all rows that match, in one projection."""
+def update_rows(df: DataFrame, filter: dict | None, update: dict, array_filters: list | None = None, compat: CompatProfile = DEFAULT, now: datetime | None = None, only: Column | None = None) -> DataFrame:
+    """The whole table after an update of all rows that match, in one projection; with ``only``, of those among them."""
     changed = TypedUpdate(df.schema, update, filter, array_filters, compat, now).columns()
     matches = F.coalesce(Typed(df.schema, compat).filter(filter).pos, F.lit(False)) if filter else None
+    if only is not None:
+        matches = only if matches is None else matches & only
     names = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for name in [*names, *(n for n in changed if n not in names)]:
@@ -418,14 +422,67 @@ def update_rows(df: DataFrame, filter: dict | None, update: dict, array_filters:
     return df.select(*out)
 
 
+def first_match(df: DataFrame, filter: dict | None, order: list[tuple[str, int]], compat: CompatProfile = DEFAULT) -> Column:
+    """A condition that holds for the first match by ``order``, whose columns have to tell all rows apart.
+
+    One row is looked up for it. Without a match it holds for no row.
+    """
+    names = [c for c, _ in order]
+    row = find(df, filter, names, order, limit=1, compat=compat).first()
+    if row is None:
+        return F.lit(False)
+    return reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in names])
+
+
+def update_first(df: DataFrame, filter: dict | None, update: dict, order: list[tuple[str, int]], array_filters: list | None = None, compat: CompatProfile = DEFAULT, now: datetime | None = None) -> DataFrame:
+    """The whole table after an update of the first match by ``order``."""
+    return update_rows(df, filter, update, array_filters, compat, now, first_match(df, filter, order, compat))
+
+
+def find_and_update(df: DataFrame, filter: dict | None, update: dict, order: list[tuple[str, int]], return_new: bool = False, array_filters: list | None = None, compat: CompatProfile = DEFAULT, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first match by ``order``, before or after its update, and the whole table after it."""
+    one = first_match(df, filter, order, compat)
+    table = update_rows(df, filter, update, array_filters, compat, now, one)
+    if not return_new:
+        return df.where(one), table
+    return update_rows(df.where(one), None if filter is None or not any("$" in str(p).split(".") for p in _paths(update)) else filter, update, array_filters, compat, now), table
+
+
+def _paths(update: dict) -> list[str]:
+    return [p for changes in update.values() if isinstance(changes, dict) for p in changes]
+
+
+def upsert_rows(df: DataFrame, filter: dict, update: dict, order: list[tuple[str, int]] | None = None, array_filters: list | None = None, compat: CompatProfile = DEFAULT) -> DataFrame:
+    """The table after an update of all matches (with ``order``, of the first), or with a new row if there are none.
+
+    The new row has the equalities of the filter and what the update sets;
+    columns that neither names are null, names that aren't columns are lost.
+    """
+    kept = {op: changes for op, changes in update.items() if op != "$setOnInsert"}
+    if find(df, filter, limit=1, compat=compat).first() is not None:
+        if not kept:
+            return df
+        return update_rows(df, filter, kept, array_filters, compat) if order is None else update_first(df, filter, kept, order, array_filters, compat)
+    seed = Updater(Update(update, array_filters, compat)).apply(equalities(filter), {}, inserting=True)
+    return df.unionByName(df.sparkSession.createDataFrame([tuple(seed.get(f.name) for f in df.schema.fields)], T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])))
+
+
 def delete_rows(df: DataFrame, filter: dict | None, compat: CompatProfile = DEFAULT) -> DataFrame:
     """The rows that don't match, nulls kept."""
     return df.where(Typed(df.schema, compat).filter(filter).neg) if filter else df.where("false")
 
 
-def replace_rows(df: DataFrame, filter: dict, replacement: dict, key: str, compat: CompatProfile = DEFAULT) -> DataFrame:
-    """Matching rows with all columns but ``key`` taken from ``replacement``, null where it has none."""
-    matches = F.coalesce(Typed(df.schema, compat).filter(filter).pos, F.lit(False))
+def delete_first(df: DataFrame, filter: dict | None, order: list[tuple[str, int]], compat: CompatProfile = DEFAULT) -> DataFrame:
+    """All rows but the first match by ``order``."""
+    return df.where(~first_match(df, filter, order, compat))
+
+
+def replace_rows(df: DataFrame, filter: dict, replacement: dict, key: str, order: list[tuple[str, int]] | None = None, compat: CompatProfile = DEFAULT) -> DataFrame:
+    """The table in which the first match has all columns but ``key`` from ``replacement``, null where it has none.
+
+    First by ``order``, by default that of ``key``.
+    """
+    matches = first_match(df, filter, order or [(key, 1)], compat)
     out = []
     for f in df.schema.fields:
         own = F.col(f"`{f.name}`")
