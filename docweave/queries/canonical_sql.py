@@ -31,20 +31,26 @@ def canonical_id(json: str) -> str:
       ELSE {number(f"CAST({json} AS VARCHAR)")} END"""
 
 
+def leaf(t: str = "t") -> str:
+    """A text for a node of ``json_tree``, equal for equal values; containers by their kind."""
+    value, full = f"json_extract_string({t}.value, '$')", f"{t}.fullkey"
+    return f"""CASE
+          WHEN {full} LIKE '%."$oid"' THEN 'o' || lower({value})
+          WHEN {full} LIKE '%."$date"%' THEN 't' || CASE WHEN {t}.type = 'VARCHAR' AND {full} LIKE '%."$date"'
+            THEN epoch_ms(CAST({value} AS TIMESTAMPTZ)) ELSE CAST({value} AS BIGINT) END
+          WHEN {full} LIKE '%."$number%' OR {t}.type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN {number(value)}
+          WHEN {t}.type = 'VARCHAR' THEN 's' || {value}
+          WHEN {t}.type IN ('ARRAY', 'OBJECT') THEN {t}.type
+          ELSE {t}.type || coalesce(CAST({t}.value AS VARCHAR), '') END"""
+
+
 def field_texts(table: str, row: str) -> str:
     """``r, field, c``: a text for each top-level field of ``v``, from its leaves in order."""
     return f"""SELECT {row} AS r, field, string_agg(place || '=' || leaf, ';' ORDER BY id) AS c FROM (
       SELECT d.{row}, t.id,
         regexp_extract(t.fullkey, '^\\$\\.([^.\\[]+)', 1) AS field,
         regexp_replace(t.fullkey, '\\."\\$[a-zA-Z]+"', '', 'g') AS place,
-        CASE
-          WHEN t.fullkey LIKE '%."$oid"' THEN 'o' || lower(json_extract_string(t.value, '$'))
-          WHEN t.fullkey LIKE '%."$date"%' THEN 't' || CASE WHEN t.type = 'VARCHAR' AND t.fullkey LIKE '%."$date"'
-            THEN epoch_ms(CAST(json_extract_string(t.value, '$') AS TIMESTAMPTZ)) ELSE CAST(json_extract_string(t.value, '$') AS BIGINT) END
-          WHEN t.fullkey LIKE '%."$number%' OR t.type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN {number("json_extract_string(t.value, '$')")}
-          WHEN t.type = 'VARCHAR' THEN 's' || json_extract_string(t.value, '$')
-          WHEN t.type IN ('ARRAY', 'OBJECT') THEN t.type
-          ELSE t.type || coalesce(CAST(t.value AS VARCHAR), '') END AS leaf
+        {leaf()} AS leaf
       FROM {table} d, json_tree(CAST(d.v AS JSON)) t
       WHERE t.fullkey <> '$' AND NOT (t.type = 'OBJECT' AND coalesce(starts_with(json_keys(t.value)[1], '$'), false))
     ) GROUP BY ALL"""

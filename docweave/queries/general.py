@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import differ, drift, nested, rejects
-from docweave.queries.canonical_sql import canonical_id, field_texts
+from docweave.queries.canonical_sql import canonical_id, field_texts, leaf
 from docweave.session import staged
 
 
@@ -151,7 +151,59 @@ FULL JOIN (SELECT met.a, met.b, fb.field, fb.c FROM met JOIN fb ON fb.r = met.b)
 WHERE x.c IS DISTINCT FROM y.c
 """
 
+_VALUE = "(t.type = 'OBJECT' AND coalesce(starts_with(json_keys(t.value)[1], '$'), false))"
+_CATALOGUE = f"""
+WITH nodes AS (
+  SELECT d.row_id, d.file, d.k, t.id, t.fullkey, t.type, t.value, replace(substr(regexp_replace(t.fullkey, '\\[\\d+\\]', '', 'g'), 3), '"', '') AS path,
+    {leaf()} AS leaf, {_VALUE} AS is_value
+  FROM doc_store d, json_tree(CAST(d.v AS JSON)) t WHERE d.v IS NOT NULL
+), fields AS (
+  SELECT *, CASE WHEN is_value THEN CASE json_keys(value)[1] WHEN '$numberDecimal' THEN 'decimal' WHEN '$date' THEN 'date' WHEN '$oid' THEN 'objectId' WHEN '$numberLong' THEN 'number' WHEN '$numberInt' THEN 'number' WHEN '$numberDouble' THEN 'number' ELSE json_keys(value)[1] END
+    WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'bool' WHEN type = 'ARRAY' THEN 'array' WHEN type = 'OBJECT' THEN 'object' WHEN type <> 'NULL' THEN 'number' END AS kind
+  FROM nodes WHERE fullkey <> '$' AND fullkey NOT LIKE '%]' AND fullkey NOT LIKE '%][%' AND fullkey NOT LIKE '%."$%'
+), sizes AS (SELECT file, count(*) AS n FROM doc_store WHERE v IS NOT NULL GROUP BY file),
+present AS (SELECT file, path FROM fields JOIN sizes USING (file) GROUP BY file, path, n HAVING count(DISTINCT row_id) * 10 >= n),
+kinds AS (
+  SELECT file, path, kind FROM (SELECT file, path, kind, row_number() OVER (PARTITION BY file, path ORDER BY count(*) DESC, kind) AS r FROM fields WHERE kind IS NOT NULL GROUP BY file, path, kind) WHERE r = 1
+), catalogue AS (SELECT feed, CAST(file_no AS BIGINT) AS file_no, file, path, kind FROM present LEFT JOIN kinds USING (file, path) JOIN export_files USING (file))
+"""
+_P3 = f"""{_CATALOGUE}
+, steps AS (
+  SELECT a.file AS old_file, b.file FROM (SELECT DISTINCT feed, file_no, file FROM catalogue) a JOIN (SELECT DISTINCT feed, file_no, file FROM catalogue) b ON a.feed = b.feed AND b.file_no = a.file_no + 1
+), sides AS (
+  SELECT s.file, s.old_file, c.path, true AS old, c.kind FROM steps s JOIN catalogue c ON c.file = s.old_file UNION ALL SELECT s.file, s.old_file, c.path, false, c.kind FROM steps s JOIN catalogue c ON c.file = s.file
+), every AS (
+  SELECT file, old_file, path, CASE WHEN bool_and(old) THEN 'removed' WHEN NOT bool_or(old) THEN 'added' ELSE 'retyped' END AS drift_kind
+  FROM sides GROUP BY file, old_file, path HAVING count(*) = 1 OR count(DISTINCT kind) = 2
+), changes AS (
+  SELECT *, CASE WHEN path LIKE '%.%' THEN regexp_replace(path, '\\.[^.]*$', '') ELSE '' END AS parent FROM every c
+  WHERE NOT EXISTS (SELECT 1 FROM every u WHERE u.file = c.file AND starts_with(c.path, u.path || '.'))
+), pairs AS (
+  SELECT o.file, o.old_file, o.path AS old_path, n.path AS new_path FROM changes o JOIN changes n ON o.file = n.file AND o.parent = n.parent AND o.drift_kind = 'removed' AND n.drift_kind = 'added'
+), wanted AS (SELECT old_file AS file, old_path AS path FROM pairs UNION SELECT file, new_path FROM pairs),
+tops AS (SELECT row_id, file, k, path, fullkey FROM fields JOIN wanted USING (file, path) WHERE k IS NOT NULL),
+held AS (
+  SELECT file, path, k, held FROM (
+    SELECT p.file, p.path, p.k, row_number() OVER (PARTITION BY p.file, p.path, p.k ORDER BY p.row_id) AS r,
+      string_agg(regexp_replace(substr(n.fullkey, len(p.fullkey) + 1), '\\."\\$[a-zA-Z]+"', '', 'g') || '=' || n.leaf, ';' ORDER BY n.id) AS held
+    FROM tops p JOIN nodes n ON n.row_id = p.row_id AND (n.fullkey = p.fullkey OR starts_with(n.fullkey, p.fullkey || '.') OR starts_with(n.fullkey, p.fullkey || '[')) AND NOT n.is_value
+    GROUP BY p.file, p.path, p.k, p.row_id
+  ) WHERE r = 1
+), renamed AS (
+  SELECT p.file, old_path, new_path FROM pairs p JOIN held a ON a.file = p.old_file AND a.path = p.old_path JOIN held b ON b.file = p.file AND b.path = p.new_path AND b.k = a.k
+  GROUP BY p.file, old_path, new_path HAVING count(*) >= 5 AND count(*) FILTER (WHERE a.held = b.held) >= 0.9 * count(*)
+)
+SELECT file, 'renamed' AS drift_kind, old_path, new_path FROM renamed
+UNION ALL SELECT file, drift_kind, CASE WHEN drift_kind = 'added' THEN '' ELSE path END, CASE WHEN drift_kind = 'removed' THEN '' ELSE path END FROM changes c
+WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file = c.file AND (c.drift_kind = 'removed' AND r.old_path = c.path OR c.drift_kind = 'added' AND r.new_path = c.path))
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": _P3,
+    "p3_lifespans": f"""{_CATALOGUE}
+SELECT feed, path, kind AS type, min(file_no) AS first_no, max(file_no) AS last_no FROM (
+  SELECT *, file_no - row_number() OVER (PARTITION BY feed, path, kind ORDER BY file_no) AS island FROM catalogue) GROUP BY feed, path, kind, island
+""",
     "p2_found": _P2,
     "p2_tables": f"""
 SELECT table_name, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_docs, CAST(len(string_split(table_name, '[]')) - 1 AS INTEGER) AS depth
