@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary lies by default; every node has to have it there.
+#: Where the vocabulary lies by default, as the driver sees it; it is sent to the executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this public vocabulary splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,9 +30,11 @@ def encoding(path: str, split: str):
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, split: str = SPLIT) -> DataFrame:
     """``keep`` columns and ``n_tokens`` of the whole text; 0 for an empty one, null for null."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(vocabulary, split).encode_ordinary
+        encode = encoding(SparkFiles.get(name), split).encode_ordinary
         for batch in batches:
             sizes = [None if t is None else len(encode(t)) for t in batch["__text"]]
             yield batch.drop(columns="__text").assign(n_tokens=pd.Series(sizes, dtype="Int64", index=batch.index))
