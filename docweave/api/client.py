@@ -24,7 +24,7 @@ def check_database_name(name: str) -> None:
 
 
 class WriteConcern:
-    """Accepted; commits are always whole and durable."""
+    """Honoured by the SQLite engine; commits of snapshots are always whole and durable."""
 
     def __init__(self, wtimeout: int | None = None, **options):
         self.document = {"wtimeout": wtimeout} | options if wtimeout is not None else dict(options)
@@ -45,6 +45,7 @@ class Client:
         self.compat = CompatProfile.of(version or settings.get("version", "4.2"))
         self.document_class, self.address = document_class, repository
         self.write_concern = WriteConcern(wtimeout, **options)
+        self.store.concern = self.write_concern.document
         self._open = True
 
     def __repr__(self) -> str:

@@ -209,7 +209,7 @@ class Collection:
 
     def _rewrite(self, filter: dict, update, only: int | None) -> tuple[int, int]:
         """Apply an update to all matches, or to one row; (matched, modified)."""
-        from docweave.session import staged
+        from docweave.session import release, staged
 
         base = self._version()
         whole = not isinstance(self._store, SnapshotStore)
@@ -217,10 +217,12 @@ class Collection:
         done = staged(frames.updated(own, filter, update, only, self.compat), "update")
         sums = done.agg(F.count_if("matched").alias("n"), F.count_if("modified").alias("m"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error")).first()
         if sums.error:
+            release(done)
             kind, message, code = json.loads(sums.error)
             raise _ERRORS.get(kind, OperationFailure)(message, code)
         if sums.m:
             self._store.rewrite(self.database.name, self.name, done.select("seq", "id_key", "doc"), done.where("modified").select("seq"), base)
+        release(done)
         return sums.n, sums.m
 
     def _upsert(self, filter: dict, update) -> Any:
@@ -337,13 +339,14 @@ class Collection:
     def delete_many(self, filter, **_) -> DeleteResult:
         if not isinstance(filter, dict):
             raise TypeError("a filter is a dict")
-        from docweave.session import staged
+        from docweave.session import release, staged
 
         base = self._version()
         gone = staged(frames.matching(self.frame(), filter, compat=self.compat).select("seq"), "delete")
         n = gone.count()
         if n:
             self._store.rewrite(self.database.name, self.name, self.frame().join(gone, "seq", "left_anti"), gone, base)
+        release(gone)
         return DeleteResult(n)
 
     def drop(self) -> None:

@@ -7,9 +7,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.errors import ConfigurationError
+
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -27,12 +31,14 @@ def get_session(app: str = "docweave", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named."""
+    """The folder all executors share; where none is named, a temporary one in local mode and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", "")
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else ""
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("name a folder that all executors share in spark.checkpoint.dir")
         path = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -42,7 +48,8 @@ def staged(df: DataFrame, name: str, cluster_by: list[str] | None = None) -> Dat
     """Write ``df`` once to the shared folder and read it back.
 
     Used where one result feeds several branches whose recomputation would
-    repeat Python work; unlike a cache it survives the loss of executors.
+    repeat Python work; unlike a cache it survives the loss of executors. It
+    is deleted by ``release``, at the end of a ``scratch`` block or at exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex[:12]}"
@@ -51,12 +58,32 @@ def staged(df: DataFrame, name: str, cluster_by: list[str] | None = None) -> Dat
         writer = writer.partitionBy(*cluster_by)
     writer.parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``df``, once nothing reads it any more."""
+    at = next((n for n, (_, path) in enumerate(_STAGED) if path == df._staged_at), None)
+    if at is not None:
+        _STAGED.append(_STAGED.pop(at))
+        release_staged(len(_STAGED) - 1)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A block at whose end all that was staged in it is deleted; its results have to be read or written by then."""
+    held = len(_STAGED)
+    try:
+        yield
+    finally:
+        release_staged(held)
 
 
-def release_staged() -> None:
-    """Delete what ``staged`` wrote; runs at exit too."""
-    while _STAGED:
+def release_staged(keep: int = 0) -> None:
+    """Delete what ``staged`` wrote, all but the first ``keep``; runs at exit too."""
+    while len(_STAGED) > keep:
         spark, path = _STAGED.pop()
         try:
             jvm = spark.sparkContext._jvm

@@ -6,8 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from docweave import session
 from docweave.api import Client
-from docweave.errors import DuplicateKeyError, OperationFailure
+from docweave.errors import ConfigurationError, DuplicateKeyError, OperationFailure
 from docweave.functions import ejson
 from docweave.functions.order import sort_key
 from docweave.sources.store import FlatFileStore, SnapshotStore, SqliteStore
@@ -133,6 +134,45 @@ def test_sqlite_replace_streams(spark, tmp_path, monkeypatch):
         assert c.execute("SELECT count(*) FROM documents").fetchone() == (2,)
 
 
+def test_sqlite_write_concern(spark, tmp_path):
+    with Client(str(tmp_path), spark=spark, storage="sqlite", wtimeout=200, journal_mode="wal", synchronous="off") as client:
+        client.shop.items.insert_one({"_id": 1})
+        with sqlite3.connect(f"{tmp_path}/shop/items.collection") as c:
+            assert c.execute("PRAGMA journal_mode").fetchone() == ("wal",)
+            c.execute("BEGIN EXCLUSIVE")
+            began = time.time()
+            with pytest.raises(sqlite3.OperationalError):
+                client.store.append("shop", "items", rows(spark, [2], 2))
+            assert time.time() - began < 30
+        client.shop.items.update_many({}, {"$set": {"a": 1}})
+        assert list(client.shop.items.find()) == [{"_id": 1, "a": 1}]
+    with pytest.raises(ConfigurationError), Client(str(tmp_path), spark=spark, storage="sqlite", synchronous="sometimes") as client:
+        client.shop.items.insert_one({"_id": 3})
+
+
+def test_staged_results_are_deleted(spark, tmp_path):
+    before = len(session._STAGED)
+    with session.scratch():
+        kept = session.staged(spark.range(5), "one")
+        assert kept.count() == 5 and os.path.exists(kept._staged_at.removeprefix("file://"))
+        other = session.staged(spark.range(3), "two")
+        session.release(kept)
+        assert not os.path.exists(kept._staged_at.removeprefix("file://")) and other.count() == 3
+    assert len(session._STAGED) == before and not os.path.exists(other._staged_at.removeprefix("file://"))
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    fake = type("S", (), {"conf": {}, "sparkContext": Context})
+    with pytest.raises(ConfigurationError):
+        session.shared_dir(fake)
+
+
 def test_collection_keeps_frames_readable(spark, tmp_path):
     with Client(f"file://{tmp_path}/r", spark=spark) as client:
         items = client.shop.items
