@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal, InvalidOperation
 
@@ -38,21 +40,32 @@ def _reject_constant(text: str):
     raise ValueError(f"{text} is not JSON")
 
 
-_DECODER = json.JSONDecoder(
-    object_pairs_hook=Fields, parse_float=Decimal, parse_int=_long_int, parse_constant=_reject_constant
-)
+def deep_stack(f: Callable, *args):
+    """``f`` without the usual bound of recursion, which for Python code isn't that of the C stack."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 10_000_000))
+    try:
+        return f(*args)
+    finally:
+        sys.setrecursionlimit(limit)
 
 
-def parse(text: str):
-    """JSON text to Python values; objects become :class:`Fields`.
+def json_reader(**options) -> Callable[[str], object]:
+    """A reader of JSON text of any depth; raises ValueError for text that isn't one JSON value."""
+    fast, slow = json.JSONDecoder(**options), json.JSONDecoder(**options)
+    slow.scan_once = json.scanner.py_make_scanner(slow)
+
+    def read(text: str):
+        try:
+            return fast.decode(text)
+        except RecursionError:
+            return deep_stack(slow.decode, text)
+
+    return read
 
-    Raises ValueError for text that isn't one JSON value (also when it is
-    nested too deep to be read).
-    """
-    try:
-        return _DECODER.decode(text)
-    except RecursionError as e:
-        raise ValueError("nested too deep") from e
+
+#: JSON text to Python values; objects become :class:`Fields`. Raises ValueError for text that isn't one JSON value.
+parse = json_reader(object_pairs_hook=Fields, parse_float=Decimal, parse_int=_long_int, parse_constant=_reject_constant)
 
 
 def number_text(value) -> str:
@@ -124,6 +137,13 @@ def _wrapped(name: str, value) -> str | None:
 
 
 def canonical(value) -> str:
+    try:
+        return _canonical(value)
+    except RecursionError:
+        return deep_stack(_canonical, value)
+
+
+def _canonical(value) -> str:
     kind = type(value)
     if kind is str:
         return f"s{len(value)}:{value}"
@@ -138,9 +158,9 @@ def canonical(value) -> str:
             known = _wrapped(*value[0])
             if known is not None:
                 return known
-        return "{" + ",".join([f"{len(k)}:{k}={canonical(v)}" for k, v in value]) + "}"
+        return "{" + ",".join([f"{len(k)}:{k}={_canonical(v)}" for k, v in value]) + "}"
     if kind is list:
-        return "[" + ",".join(map(canonical, value)) + "]"
+        return "[" + ",".join([_canonical(v) for v in value]) + "]"
     raise TypeError(kind)
 
 

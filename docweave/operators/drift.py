@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.canonical import Fields, canonical, digest, is_value_object, number_text, parse, printable
+from docweave.functions.canonical import Fields, canonical, deep_stack, digest, is_value_object, json_reader, number_text, parse, printable
 from docweave.session import small_rows, staged
 
 _WRAPPED = {"$numberLong": "number", "$numberInt": "number", "$numberDouble": "number", "$numberDecimal": "decimal", "$date": "date", "$oid": "objectId"}
@@ -51,18 +51,26 @@ def type_name(value) -> str | None:
     return "number"
 
 
-def walk_paths(value, out: list[tuple[str, object]], parent: str = "") -> None:
+def walk_paths(value, out: list[tuple[str, object]]) -> None:
     """(path, value) of each field: objects are entered, also directly in an array."""
+    try:
+        _walk_paths(value, out)
+    except RecursionError:
+        out.clear()
+        deep_stack(_walk_paths, value, out)
+
+
+def _walk_paths(value, out: list[tuple[str, object]], parent: str = "") -> None:
     for name, x in value:
         path = f"{parent}.{name}" if parent else name
         out.append((path, x))
         if type(x) is Fields:
             if not is_value_object(x):
-                walk_paths(x, out, path)
+                _walk_paths(x, out, path)
         elif type(x) is list:
             for item in x:
                 if type(item) is Fields and not is_value_object(item):
-                    walk_paths(item, out, path)
+                    _walk_paths(item, out, path)
 
 
 def _document(text: str | None, read: Callable[[str], object] = parse):
@@ -70,7 +78,7 @@ def _document(text: str | None, read: Callable[[str], object] = parse):
         return None
     try:
         value = read(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
     return value if type(value) is Fields and not is_value_object(value) else None
 
@@ -80,7 +88,7 @@ def _no_constant(text: str):
 
 
 #: Reads the shape of a document; the exact value of a number doesn't count there.
-_read_shape = json.JSONDecoder(object_pairs_hook=Fields, parse_int=float, parse_constant=_no_constant).decode
+_read_shape = json_reader(object_pairs_hook=Fields, parse_int=float, parse_constant=_no_constant)
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,14 +367,14 @@ def _json_text(value) -> str:
     if kind is Fields:
         return "{" + ",".join([f"{json.dumps(k, ensure_ascii=False)}:{_json_text(x)}" for k, x in value]) + "}"
     if kind is list:
-        return "[" + ",".join(map(_json_text, value)) + "]"
+        return "[" + ",".join([_json_text(x) for x in value]) + "]"
     return number_text(value) if kind is int or kind is Decimal else json.dumps(value, ensure_ascii=False)
 
 
 def _cast(value, kind: str | None):
     """``value`` as a column of ``kind`` holds it, or None."""
     if kind is None:
-        return printable(value if type(value) is str else _json_text(value))
+        return printable(value if type(value) is str else deep_stack(_json_text, value))
     if kind == "boolean":
         return value if type(value) is bool else None
     if is_value_object(value) and len(value) == 1 and type_name(value) == "number":
@@ -423,7 +431,7 @@ def _unify(n_keep: int, kinds: dict[str, str | None]) -> Callable[[Iterator[pa.R
                         cells[name] = [None] * batch.num_rows
                     cells[name][i] = fit
                 if left:
-                    rest[i] = printable(_json_text(left))
+                    rest[i] = printable(deep_stack(_json_text, left))
             columns = [pa.array(cells[name], arrow[kind]) if name in cells else pa.nulls(batch.num_rows, arrow[kind]) for name, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *columns, pa.array(rest, pa.string())], [f"c{i}" for i in range(n_keep + len(columns) + 1)])
 

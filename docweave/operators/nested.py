@@ -15,7 +15,6 @@ tells whether there are any.
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -23,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.canonical import printable
+from docweave.functions.canonical import json_reader, printable
 
 #: Levels of nesting that the expressions reach; objects below come from the walker.
 DEPTH = 12
@@ -60,7 +59,7 @@ class Catalogue(NamedTuple):
     """What ``find_shapes`` found in all documents.
 
     ``guard``: some object has ``$`` keys beside others; ``odd``: some
-    document repeats a name in an object or is nested too deep for VARIANT;
+    document repeats a name in an object, is deep or isn't JSON;
     ``deep``: something lies below ``DEPTH``; ``whole``: the shapes are
     complete, else they are too many to be projected.
     """
@@ -76,13 +75,8 @@ class _Reader:
     """JSON text to dicts and lists; the last value of a repeated name counts."""
 
     def __init__(self):
-        self.repeats = self.nested = False
-        self._fast = self._decoder()
-        self._slow = self._decoder()
-        self._slow.scan_once = json.scanner.py_make_scanner(self._slow)  # not bound by the C stack
-
-    def _decoder(self) -> json.JSONDecoder:
-        return json.JSONDecoder(object_pairs_hook=self._object, parse_constant=self._constant)
+        self.repeats = self.broken = False
+        self._read = json_reader(object_pairs_hook=self._object, parse_constant=self._constant)
 
     def _object(self, pairs: list) -> dict:
         out = dict(pairs)
@@ -97,17 +91,9 @@ class _Reader:
     def read(self, text: str):
         """The value; None for text that isn't JSON."""
         try:
-            try:
-                return self._fast.decode(text)
-            except RecursionError:
-                self.nested = True
-            limit = sys.getrecursionlimit()
-            sys.setrecursionlimit(limit + 8 * (text.count("[") + text.count("{")))
-            try:
-                return self._slow.decode(text)
-            finally:
-                sys.setrecursionlimit(limit)
+            return self._read(text)
         except ValueError:
+            self.broken = True
             return None
 
 
@@ -171,7 +157,7 @@ def _scan(fields: bool):
                 rows.append((kind, name, None))
                 if fields:
                     rows += [(kind, name, printable(f)) for f in names]
-        marks = {"guard": mixed, "odd": reader.repeats or reader.nested, "deep": deep}
+        marks = {"guard": mixed, "odd": reader.repeats or reader.broken or deep, "deep": deep}
         rows += [(None, None, m) for m, held in marks.items() if held]
         yield pd.DataFrame(rows, columns=["kind", "steps", "field"])
 
@@ -391,11 +377,15 @@ def with_variant(df: DataFrame, keep: list[str], value: str = "v", guard: bool =
 
     With ``odd``, documents that VARIANT can't hold are mended: the last
     value of a repeated name counts, what lies below ``DEPTH`` is left out.
+    Text after a whole JSON value, which the parser doesn't look at, then
+    makes it no JSON.
     """
     rows = df.select(*keep, F.col(value).cast("string").alias("__text"))
     parsed = rows.withColumn("__doc", _variant("__text", guard))
     if not odd:
         return parsed.select(*keep, "__doc")
+    whole = F.try_parse_json(F.concat(F.lit("["), "__text", F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"d":'), "__text", F.lit("}"))).isNotNull()
+    parsed = parsed.withColumn("__doc", F.when(whole, F.col("__doc")))
     mended = parsed.where("__doc IS NULL AND __text IS NOT NULL").drop("__doc").mapInPandas(_mended, rows.schema)
     return parsed.where("__doc IS NOT NULL").select(*keep, "__doc").unionByName(mended.select(*keep, _variant("__text", guard).alias("__doc")))
 

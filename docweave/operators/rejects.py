@@ -8,7 +8,6 @@ split the lines into valid and rejected ones. Each line is judged alone.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from datetime import date
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docweave.functions.canonical import Fields
+from docweave.functions.canonical import Fields, json_reader
 from docweave.session import small_rows
 
 QUOTING, COLUMN_COUNT, BAD_VALUE, UNKNOWN_LAYOUT = "quoting", "column_count", "bad_value", "unknown_layout"
@@ -111,7 +110,7 @@ def _no_constant(text: str):
     raise ValueError(text)
 
 
-_JSON = json.JSONDecoder(object_pairs_hook=Fields, parse_float=_Real, parse_int=_Whole, parse_constant=_no_constant)
+_read = json_reader(object_pairs_hook=Fields, parse_float=_Real, parse_int=_Whole, parse_constant=_no_constant)
 
 
 def json_ok(value, field: LayoutField) -> bool:
@@ -142,9 +141,7 @@ def _json_text(value) -> str | None:
 def judge_json(line: str, layout: Layout) -> tuple[str | None, list | None]:
     """(reason, values) of an ndjson line; values are texts in layout order."""
     try:
-        value = _JSON.decode(line)
-    except RecursionError:  # deeper than any field type allows
-        return BAD_VALUE, None
+        value = _read(line)
     except ValueError:
         return QUOTING, None
     if type(value) is not Fields:

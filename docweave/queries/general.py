@@ -57,8 +57,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_valid(spark: SparkSession, sf: str) -> DataFrame:
-    """The valid records of all layouts, values in layout order."""
-    return _judged(spark, sf).where("reason IS NULL AND NOT is_header").select("line_id", "layout", "field_values")
+    """The valid records of all layouts, their values as one text in layout order."""
+    values = F.transform("field_values", lambda x: F.coalesce(x, F.lit("<null>")))
+    return _judged(spark, sf).where("reason IS NULL AND NOT is_header").select("line_id", "layout", F.concat_ws("|", values).alias("field_values"))
 
 
 def p4_loans(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +103,7 @@ WITH layouts AS (
     regexp_full_match(d || s, '(' || one || ')+') AS quoted
   FROM delimited
 ), judged AS (
-  SELECT line_id, quoted, len(got) = width AS counted,
+  SELECT line_id, layout, list_transform(list_zip(got, fields), lambda z: CASE WHEN z[1] <> '' OR z[2].t = 'string' THEN z[1] END) AS record, quoted, len(got) = width AS counted,
     len(list_filter(list_zip(got, fields), lambda z: NOT CASE
       WHEN z[1] = '' AND z[2].t <> 'string' THEN z[2].ok
       WHEN z[2].t = 'int' THEN regexp_full_match(z[1], '[+-]?[0-9]+') AND TRY_CAST(z[1] AS BIGINT) IS NOT NULL
@@ -122,7 +123,7 @@ WITH layouts AS (
   FROM objects
 ), both_ AS (
   SELECT * FROM judged UNION ALL
-  SELECT line_id, coalesce(json_type(j) = 'OBJECT', false), len(json_keys(j)) = width,
+  SELECT line_id, layout, list_transform(got, lambda g: CASE WHEN g.t = 'oid' THEN g.oid ELSE g.text END), coalesce(json_type(j) = 'OBJECT', false), len(json_keys(j)) = width,
     len(list_filter(got, lambda g: NOT CASE
       WHEN g.kind = 'NULL' THEN g.ok
       WHEN g.t = 'int' THEN g.kind IN ('BIGINT', 'UBIGINT')
@@ -133,6 +134,8 @@ WITH layouts AS (
       ELSE g.kind = 'VARCHAR' END)) = 0
   FROM values_
 )
+"""
+_P4_FOUND = f"""{_P4}
 SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT counted THEN 'column_count' ELSE 'bad_value' END AS reason
 FROM both_ WHERE NOT (quoted AND counted AND valued)
 """
@@ -214,7 +217,14 @@ SELECT row_id, parent_path, child_path, json_extract_string(value, '$.item') AS
 FROM ({_P2.replace("SELECT row_id,", "SELECT row_id, value,", 1).replace("SELECT d.row_id, t.fullkey,", "SELECT d.row_id, t.value, t.fullkey,")})
 WHERE regexp_full_match(child_path, 'legs\\.[0-9]+\\.cargo\\.[0-9]+')
 """,
-    "p4_found": _P4,
+    "p4_found": _P4_FOUND,
+    "p4_valid": f"""{_P4}
+SELECT line_id, layout, array_to_string(list_transform(record, lambda x: coalesce(x, '<null>')), '|') AS field_values FROM both_ WHERE quoted AND counted AND valued
+""",
+    "p4_loans": f"""{_P4}
+SELECT line_id, CAST(record[1] AS BIGINT) AS _id, record[2] AS item, CAST(record[3] AS DATE) AS lent_on, CAST(record[4] AS DATE) AS back_on, CAST(record[5] AS DOUBLE) AS fine, CAST(lower(record[6]) AS BOOLEAN) AS lost
+FROM both_ WHERE quoted AND counted AND valued AND layout = 'loans_csv'
+""",
     "p5_found": _P5,
     "p5_summary": f"""
 SELECT CASE WHEN b_row = -1 THEN 'only_a' WHEN a_row = -1 THEN 'only_b' ELSE 'field' END AS kind, field_name, count(*) AS documents

@@ -43,3 +43,11 @@ def test_against_brute_force(spark, data_dir):
         (n, v), (m, w) = x[k], y[k]
         expected += [(n, m, f) for f in v.keys() | w.keys() if f not in v or f not in w or canonical_json(json.dumps(v[f])) != canonical_json(json.dumps(w[f]))]
     assert diff(spark, a, b) == sorted(expected)
+
+
+def test_very_deep_documents(spark):
+    deep = lambda inner: '{"x":' + "[" * 20_000 + inner + "]" * 20_000 + ',"y":{"z":' * 1 + "1}}"
+    rows = [(1, "c", "1", deep("1")), (2, "c", "2", deep("1")), (3, "c", '{"a":' * 5000 + "1" + "}" * 5000, "{}")]
+    a = spark.createDataFrame(rows, "a_row long, coll string, _id string, v string")
+    b = spark.createDataFrame([(7, "c", "1.0", deep("1.0")), (8, "c", "2", deep("2")), (9, "c", '{"a": ' * 5000 + "1.0" + "}" * 5000, "{}")], "b_row long, coll string, _id string, v string")
+    assert [tuple(r) for r in differ.diff_copies(a, b).collect()] == [(2, 8, "x")]

@@ -154,3 +154,9 @@ def test_fields_of_equal_values_renamed_together(spark):
     docs = [(100 * i + n, f"f{i}", str(n), json.dumps(v)) for i, v in ((1, {"a": 1, "b": 1, "c": None, "d": 1}), (2, {"x": 1, "y": 1, "z": None})) for n in range(6)]
     got = found(spark, docs, [("f1", "f", 1), ("f2", "f", 2)])
     assert got == {("f2", "renamed", "a", "x"), ("f2", "renamed", "b", "y"), ("f2", "renamed", "c", "z"), ("f2", "removed", "d", "")}
+
+
+def test_very_deep_documents(spark):
+    deep = "[" * 20_000 + "1" + "]" * 20_000
+    docs = [(n, "f1", str(n), '{"a":' + deep + "}") for n in range(6)] + [(10 + n, "f2", str(n), '{"b":' + deep + "}") for n in range(6)]
+    assert found(spark, docs, [("f1", "f", 1), ("f2", "f", 2)]) == {("f2", "renamed", "a", "b")}

@@ -8,7 +8,7 @@ from docweave.operators import nested
 def brute(row, text):
     out = set()
     try:
-        root = json.loads(text)
+        root = json.loads(text, parse_constant=lambda c: int("x"))
     except (TypeError, ValueError):
         return out
 
@@ -37,7 +37,7 @@ def deep(n, inner='{"x":1}'):
 
 
 CASES = [
-    None, "", "not json", "5", "[]", "{}", '[{"a":1},{"b":[{}]}]', '{"a":[{"b":[{"c":1},null,"x"]},[[{"d":1}],{"e":[{}]}],{"$oid":"x"}]}', '{"a":{"b":[{"c":{"d":[{"e":1}]}}]}}',
+    None, "", "not json", '{"a":[{"b":1}]} x', '{"a":[{"b":1}]}{"a":1}', '{"a":[{"b":1}]}}] x', '{"a":[{"b":NaN}]}', "5", "[]", "{}", '[{"a":1},{"b":[{}]}]', '{"a":[{"b":[{"c":1},null,"x"]},[[{"d":1}],{"e":[{}]}],{"$oid":"x"}]}', '{"a":{"b":[{"c":{"d":[{"e":1}]}}]}}',
     '{"s":"[{\\"a\\":1}]","t":[{"u":"{}"}]}', '{"a":[{"x":1,"$y":[{"z":1}]},{"$y":2,"x":[{"z":1}]}]}', '{"a":[{"it\'s":[{"q\\"uote":[{}]}]}]}', '{"A":[{"b":1}],"a":[{"B":[{}]}]}', '{"n":' + "[" * 30 + '{"x":1}' + "]" * 30 + "}",
     '{"\\u00e9":[{"k.l":[{"m":1}]}]}', '{"a":[{"b":"' + "x" * 200000 + '"}]}',
     '{"a":[{"b":1,"b":[{}]},{"c":[{}],"c":2}],"a":[{"d":[{"e":1,"e":2}]}]}', deep(9), deep(10), deep(11), deep(31), deep(12, '{"y":[{}],"z":{"$oid":1}},{}'), deep(600), '{"o":' * 40 + '[{"p":[{}]}]' + "}" * 40, deep(5, '{"q":1,"q":' + deep(20) + "}"),
