@@ -8,6 +8,7 @@ of the residues by key lists one-sided rows and differing fields.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,20 +72,39 @@ def normalised(df: DataFrame, row: str, part: str, key: str, value: str) -> Data
     return picked.mapInPandas(_normalise, _NORMAL)
 
 
+#: Neighbouring row numbers that are ordered in one task; a key may be repeated in any number of rows.
+_BLOCK_BITS = 16
+
+
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with their place among those of equal ``keys``, by row number.
+
+    Rows are ordered within blocks of row numbers only; the sizes of the
+    blocks before are added, so a key with a third of all rows is spread.
+    """
+    block = F.coalesce(F.shiftright("row_no", _BLOCK_BITS), F.lit(-(2**62)))
+    blocks = rows.groupBy(*keys, block.alias("block")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), *[F.col(k).alias(f"__{k}") for k in keys])
+    placed = rows.withColumn("__block", block).withColumn(name, F.row_number().over(Window.partitionBy(*keys, "__block").orderBy("row_no")))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = placed.join(offsets, reduce(lambda x, y: x & y, on, F.col("__block") == F.col("block")))
+    return joined.select(*rows.columns, (F.col(name) + F.col("offset")).alias(name))
+
+
 def _residue(own: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of ``own`` without an equal partner, numbered within their key.
 
     EXCEPT ALL works on counts of (part, id, digest), so copies of one row
     collapse before the shuffle; the rows themselves are fetched only for
-    the digests that are left over.
+    the digests that are left over. Of equal rows the first stay.
     """
     cols = ["part", "id_digest", "v_digest"]
     left = own.select(cols).exceptAll(other.select(cols)).groupBy(cols).count().withColumnRenamed("count", "spare")
     same = [own[c].eqNullSafe(left[c]) for c in cols]
-    rows = own.join(left, same[0] & same[1] & same[2]).select(own["*"], "spare")
-    nth = Window.partitionBy(cols).orderBy(F.col("row_no").desc())
-    spare = rows.withColumn("nth", F.row_number().over(nth)).where("nth <= spare").drop("nth", "spare")
-    return spare.withColumn("turn", F.row_number().over(Window.partitionBy("part", "id_digest").orderBy("row_no")))
+    rows = staged(own.join(left, same[0] & same[1] & same[2]).select(own["*"], "spare"), "residue")
+    spare = staged(_numbered(rows, cols, "nth").where("nth <= spare").drop("nth", "spare"), "spare")
+    return _numbered(spare, cols[:2], "turn")
 
 
 def _unequal_fields(a: Column, b: Column) -> Column:

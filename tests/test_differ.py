@@ -32,6 +32,17 @@ def test_one_sided_and_repeated(spark):
     assert diff(spark, [], []) == [] and diff(spark, [], b[:1]) == [(-1, 1, "")] and diff(spark, a[:1], a[:1]) == []
 
 
+def test_hot_keys_are_ordered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(differ, "_BLOCK_BITS", 2)
+    a = [(n, "c", "1", f'{{"x":{n // 2}}}') for n in range(40)] + [(100 + n, "c", None, "{}") for n in range(9)] + [(200, "c", "7", "{}")]
+    b = [(500 + n, "c", "1", '{"x":3}') for n in range(5)] + [(600 + n, "c", "1.0", f'{{"x":{70 + n}}}') for n in range(30)] + [(None, "c", "7", '{"y":1}')]
+    found = diff(spark, a, b)
+    left = [n for n in range(40) if n // 2 != 3]
+    right = [500 + n for n in range(3)] + [600 + n for n in range(30)]
+    expected = [(x, y, "x") for x, y in zip(left, right)] + [(x, -1, "") for x in left[len(right) :]] + [(100 + n, -1, "") for n in range(9)]
+    assert [r for r in found if r[0] != 200] == sorted(expected) and len([r for r in found if r[0] == 200]) == 1
+
+
 def test_against_brute_force(spark, data_dir):
     a = [tuple(r) for r in spark.read.parquet(f"{data_dir}/flatfile_copy.parquet").select("a_row", "coll", "_id", "v").collect()]
     b = [tuple(r) for r in spark.read.parquet(f"{data_dir}/sqlite_copy.parquet").select("b_row", "coll", "_id", "v").collect()]
