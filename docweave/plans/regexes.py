@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from docweave.errors import OperationFailure
 from docweave.functions.bsontypes import Regex
@@ -16,7 +17,9 @@ def to_java(regex: Regex) -> str:
     Raises OperationFailure for what has no counterpart.
     """
     try:
-        re.compile(regex.pattern)
+        with warnings.catch_warnings():  # a bracket in a class is one here, whatever Python may make of it later
+            warnings.simplefilter("ignore", FutureWarning)
+            re.compile(regex.pattern)
     except re.error as e:
         raise OperationFailure(f"bad regular expression: {e}", 51091) from e
     out, at, in_class = [], 0, False

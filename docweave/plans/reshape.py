@@ -423,7 +423,7 @@ def update_rows(df: DataFrame, filter: dict | None, update: dict, array_filters:
 
 
 def first_match(df: DataFrame, filter: dict | None, order: list[tuple[str, int]], compat: CompatProfile = DEFAULT) -> Column:
-    """A condition that holds for the first match by ``order``, whose columns have to tell all rows apart.
+    """A condition that holds for the first match by ``order``, whose columns have to tell all matches apart.
 
     One row is looked up for it. Without a match it holds for no row.
     """
@@ -431,7 +431,8 @@ def first_match(df: DataFrame, filter: dict | None, order: list[tuple[str, int]]
     row = find(df, filter, names, order, limit=1, compat=compat).first()
     if row is None:
         return F.lit(False)
-    return reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in names])
+    matches = F.coalesce(Typed(df.schema, compat).filter(filter).pos, F.lit(False)) if filter else F.lit(True)
+    return reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in names], matches)
 
 
 def update_first(df: DataFrame, filter: dict | None, update: dict, order: list[tuple[str, int]], array_filters: list | None = None, compat: CompatProfile = DEFAULT, now: datetime | None = None) -> DataFrame:

@@ -265,3 +265,25 @@ def test_nan_and_large_numbers(spark):
     ids = lambda f: [r["_id"] for r in typed.find(df, f).orderBy("_id").collect()]
     assert ids({"i": 9007199254740992.0}) == [] and ids({"i": {"$gt": 9007199254740992.0}}) == [1] and ids({"f": 9007199254740993}) == [] and ids({"f": {"$lt": 9007199254740993}}) == [1]
     assert ids({"f": math.nan}) == [2] and ids({"f": {"$gt": 0}}) == [1] and ids({"f": {"$not": {"$gt": 0}}}) == [2, 3] and ids({"i": {"$lt": math.inf}}) == [1, 2] and ids({"i": "3"}) == []
+
+
+def test_first_match_forms(spark):
+    ships = spark.createDataFrame([(1, "tug", 5), (2, "tug", 9), (3, None, 9), (4, "brig", None)], "no long, kind string, tons long")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])
+    whole = rows(ships)
+    assert rows(reshape.replace_rows(ships, {"kind": "tug"}, {"kind": "raft"}, "no")) == [(1, "raft", None), *whole[1:]]
+    assert rows(reshape.replace_rows(ships, {"kind": "tug"}, {"kind": "raft"}, "no", [("no", -1)])) == [whole[0], (2, "raft", None), *whole[2:]]
+    assert rows(reshape.update_first(ships, {"tons": 9}, {"$inc": {"tons": 1}}, [("kind", 1), ("no", 1)])) == [*whole[:2], (3, None, 10), whole[3]]
+    assert rows(reshape.update_first(ships, {"tons": 77}, {"$inc": {"tons": 1}}, [("no", 1)])) == whole and rows(reshape.update_first(ships, None, {"$set": {"kind": "x"}}, [("no", -1)]))[3] == (4, "x", None)
+    assert rows(reshape.delete_first(ships, {"tons": None}, [("no", 1)])) == whole[:3] and rows(reshape.delete_first(ships, {"no": 9}, [("no", 1)])) == whole
+    before, table = reshape.find_and_update(ships, {"kind": "tug"}, {"$set": {"kind": "ship"}}, [("tons", -1)])
+    assert rows(before) == [whole[1]] and rows(table) == [whole[0], (2, "ship", 9), *whole[2:]]
+    after, _ = reshape.find_and_update(ships, {"kind": "tug"}, {"$set": {"kind": "ship"}}, [("tons", -1)], return_new=True)
+    assert rows(after) == [(2, "ship", 9)]
+    none, same = reshape.find_and_update(ships, {"no": 9}, {"$set": {"kind": "ship"}}, [("no", 1)], return_new=True)
+    assert rows(none) == [] and rows(same) == whole
+    assert rows(reshape.upsert_rows(ships, {"no": 9, "kind": "yawl"}, {"$set": {"tons": 2}, "$setOnInsert": {"unknown": 1}})) == [*whole, (9, "yawl", 2)]
+    assert rows(reshape.upsert_rows(ships, {"kind": "tug"}, {"$set": {"tons": 2}, "$setOnInsert": {"no": 1}}, [("no", 1)])) == [(1, "tug", 2), *whole[1:]]
+    assert rows(reshape.upsert_rows(ships, {"kind": "tug"}, {"$setOnInsert": {"tons": 1}})) == whole
+    empty = ships.where("false")
+    assert rows(reshape.upsert_rows(empty, {}, {"$set": {"no": 5}})) == [(5, None, None)] and rows(reshape.replace_rows(empty, {"no": 1}, {}, "no")) == []
