@@ -72,16 +72,19 @@ def normalised(df: DataFrame, row: str, part: str, key: str, value: str) -> Data
     return picked.mapInPandas(_normalise, _NORMAL)
 
 
-#: Neighbouring row numbers that are ordered in one task; a key may be repeated in any number of rows.
+#: Neighbouring row numbers that are ordered in one task where some key is repeated in more rows than that.
 _BLOCK_BITS = 16
 
 
-def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _numbered(rows: DataFrame, keys: list[str], name: str, hot: bool) -> DataFrame:
     """``rows`` with their place among those of equal ``keys``, by row number.
 
-    Rows are ordered within blocks of row numbers only; the sizes of the
-    blocks before are added, so a key with a third of all rows is spread.
+    If ``hot``, rows are ordered within blocks of row numbers only and the
+    sizes of the blocks before are added, so a key with a third of all rows
+    is spread; the places are the same.
     """
+    if not hot:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("row_no")))
     block = F.coalesce(F.shiftright("row_no", _BLOCK_BITS), F.lit(-(2**62)))
     blocks = rows.groupBy(*keys, block.alias("block")).agg(F.count("*").alias("n"))
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,8 +106,10 @@ def _residue(own: DataFrame, other: DataFrame) -> DataFrame:
     left = own.select(cols).exceptAll(other.select(cols)).groupBy(cols).count().withColumnRenamed("count", "spare")
     same = [own[c].eqNullSafe(left[c]) for c in cols]
     rows = staged(own.join(left, same[0] & same[1] & same[2]).select(own["*"], "spare"), "residue")
-    spare = staged(_numbered(rows, cols, "nth").where("nth <= spare").drop("nth", "spare"), "spare")
-    return _numbered(spare, cols[:2], "turn")
+    largest = rows.groupBy(cols[:2]).count().agg(F.max("count")).first()[0] or 0
+    hot = largest > 1 << _BLOCK_BITS
+    spare = _numbered(rows, cols, "nth", hot).where("nth <= spare").drop("nth", "spare")
+    return _numbered(staged(spare, "spare") if hot else spare, cols[:2], "turn", hot)
 
 
 def _unequal_fields(a: Column, b: Column) -> Column:
